@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import contamination, langid, mixing, sharding
+from millrace.llm import contamination, langid, mixing, ngram_join, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.op1(table(spark, sf_dir, "documents"))
+
+
 def op2_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op2(table(spark, sf_dir, "documents"))
 
@@ -27,5 +31,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op10(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_feistel_sharding, op5_benchmark_decontamination, op8_source_mixing, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_feistel_sharding, op5_benchmark_decontamination, op8_source_mixing, op10_language_id)}
 SQL = {"op8_source_mixing": mixing.OP8_SQL}

@@ -120,7 +120,7 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
         if left:
             power = power[:-width] * np.uint64(pow(q, width, 1 << 64)) + power[width:]
             width *= 2
-    return mix(out + np.uint64(k) * np.uint64(STEP))
+    return mix(out + np.uint64(k * STEP & (1 << 64) - 1))
 
 
 def window_starts(first: np.ndarray, k: int) -> np.ndarray:
