@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import contamination, katz, langid, mixing, ngram_join, pii, sharding, substring
+from millrace.llm import contamination, katz, langid, mixing, ngram_join, pii, secret_scan, sharding, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.op3(table(spark, sf_dir, "documents"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.op4(table(spark, sf_dir, "documents"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -43,5 +47,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op10(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_feistel_sharding, op3_substring_dedup, op5_benchmark_decontamination, op6_pii_bootstrap, op8_source_mixing, op9_katz_scores, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_feistel_sharding, op3_substring_dedup, op4_secret_scan, op5_benchmark_decontamination, op6_pii_bootstrap, op8_source_mixing, op9_katz_scores, op10_language_id)}
 SQL = {"op8_source_mixing": mixing.OP8_SQL}
