@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import contamination, katz, langid, mixing, ngram_join, pii, secret_scan, sharding, substring
+from millrace.llm import contamination, katz, langid, media, mixing, ngram_join, pii, secret_scan, sharding, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op6_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op6(table(spark, sf_dir, "documents"))
 
 
+def op7_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.op7(table(spark, sf_dir, "embeddings"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op8(table(spark, sf_dir, "documents"))
 
@@ -47,5 +51,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op10(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_feistel_sharding, op3_substring_dedup, op4_secret_scan, op5_benchmark_decontamination, op6_pii_bootstrap, op8_source_mixing, op9_katz_scores, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_feistel_sharding, op3_substring_dedup, op4_secret_scan, op5_benchmark_decontamination, op6_pii_bootstrap, op7_image_copies, op8_source_mixing, op9_katz_scores, op10_language_id)}
 SQL = {"op8_source_mixing": mixing.OP8_SQL}
