@@ -236,7 +236,7 @@ def nation_xml(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
-_XML = "SELECT CAST(row_number() OVER (ORDER BY n_regionkey, n_nationkey) AS BIGINT) AS at, n_nationkey AS id, n_name AS name FROM nation"
+_XML = "SELECT CAST(row_number() OVER (ORDER BY n_regionkey, n_nationkey) AS BIGINT) AS pos, n_nationkey AS id, n_name AS name FROM nation"
 
 
 @query(_XML)
