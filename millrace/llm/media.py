@@ -202,12 +202,13 @@ def copies(images: DataFrame, corners: int = CORNERS, least: int = CONSENSUS) ->
     classes = scratch.save(found.where("sig is not null").groupBy("sig").agg(F.min("id").alias("rep")))
     reps = scratch.save(found.join(classes.select(F.col("rep").alias("id"), "sig"), ["id", "sig"]).where("n > 0").dropDuplicates(["id"]))
     codes = scratch.save(reps.select("id", "codes").mapInArrow(codes_of, "code long, id long"))
-    hub = codes.groupBy("code").agg(F.min("id").alias("hub"), F.count("*").alias("k")).where("k > 1").select("code", "hub")
+    # saved, so that the join deals both sides anew and adaptive execution can split a frequent code's images
+    hub = scratch.save(codes.groupBy("code").agg(F.min("id").alias("hub"), F.count("*").alias("k")).where("k > 1").select("code", "hub"))
     pairs = codes.join(hub, "code").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     first = scratch.save(verified(pairs, reps, least))
     roots = components(first, scratch)
     named = codes.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    largest = named.groupBy("code", "root").count().groupBy("code").agg(F.max(F.struct("count", "root")).alias("top"), F.count("*").alias("k")).where("k > 1").select("code", F.col("top.root").alias("top"))
+    largest = scratch.save(named.groupBy("code", "root").count().groupBy("code").agg(F.max(F.struct("count", "root")).alias("top"), F.count("*").alias("k")).where("k > 1").select("code", F.col("top.root").alias("top")))
     mixed = scratch.save(named.join(largest, "code"))
     x = mixed.where("root <> top").select("code", F.col("id").alias("x"), F.col("root").alias("x_root"))
     y = mixed.select(F.col("code").alias("y_code"), "top", F.col("id").alias("y"), F.col("root").alias("y_root"))
