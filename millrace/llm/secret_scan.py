@@ -52,7 +52,7 @@ def word_of(words: list[str], text: Column) -> Column:
     return text.rlike("(?i)(?<![a-z])(" + "|".join(words) + ")(?![a-z])").cast("double")
 
 
-def with_features(found: DataFrame, dictionary: DataFrame) -> DataFrame:
+def with_features(found: DataFrame, dictionary: DataFrame, scratch: Scratch) -> DataFrame:
     """``found`` (match, before, after and keys) with the features; a row may come more than once."""
     near = F.substring("before", -40, 40)
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("match", "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0"), "[^aA0]", "-")
@@ -68,6 +68,7 @@ def with_features(found: DataFrame, dictionary: DataFrame) -> DataFrame:
     )
     runs = rows.select("match").distinct().withColumn("word", F.explode(F.regexp_extract_all(F.lower("match"), F.lit("[a-z]{3,}+"), F.lit(0))))
     covered = runs.join(dictionary, "word").groupBy("match").agg(F.sum(F.length("word")).alias("__c"))
+    covered = scratch.save(covered)  # so that the join deals both sides anew and adaptive execution can split a frequent match
     return rows.join(covered, "match", "left").withColumn("covered", F.coalesce(F.col("__c") / F.col("length"), F.lit(0.0))).drop("__c")
 
 
@@ -103,8 +104,8 @@ def generated_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     return raw.select(pick(0).alias("match"), pick(1).alias("before"), F.lit('" and so on').alias("after"), pick(2).cast("double").alias("label"))
 
 
-def fit(findings: DataFrame, dictionary: DataFrame) -> RandomForestClassificationModel:
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(findings, dictionary)).select("features", "label")
+def fit(findings: DataFrame, dictionary: DataFrame, scratch: Scratch) -> RandomForestClassificationModel:
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(findings, dictionary, scratch)).select("features", "label")
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(rows)
 
 
@@ -112,9 +113,9 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float =
     """(doc_id, h, start, end, match, p, secret) of every candidate in ``docs`` (doc_id, text)."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "secrets")
     dictionary = scratch.save(learned_words(docs.select("text")))
-    model = fit(findings if findings is not None else generated_findings(spark), dictionary)
+    model = fit(findings if findings is not None else generated_findings(spark), dictionary, scratch)
     found = scratch.save(candidates(docs))
-    judged = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(found, dictionary)))
+    judged = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(found, dictionary, scratch)))
     return judged.select("doc_id", "h", "start", "end", "match", vector_to_array("probability")[1].alias("p")).withColumn("secret", F.col("p") > threshold)
 
 
