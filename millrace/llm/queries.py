@@ -52,4 +52,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_feistel_sharding, op3_substring_dedup, op4_secret_scan, op5_benchmark_decontamination, op6_pii_bootstrap, op7_image_copies, op8_source_mixing, op9_katz_scores, op10_language_id)}
-SQL = {"op8_source_mixing": mixing.OP8_SQL}
+#: The others have no SQL: crc32, trained models and scores; tests compare them with plain versions.
+SQL = {"op1_ngram_jaccard_join": ngram_join.OP1_SQL, "op3_substring_dedup": substring.OP3_SQL, "op5_benchmark_decontamination": contamination.OP5_SQL, "op8_source_mixing": mixing.OP8_SQL}

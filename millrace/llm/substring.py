@@ -180,3 +180,14 @@ def parse_with(docs: DataFrame, known: DataFrame, window: int, parts: int) -> Da
 def op3(docs: DataFrame) -> DataFrame:
     """What is left of each of ``documents``."""
     return deduplicate(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+v AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS s FROM d, unnest(range(1, greatest(len(w) - 49, 0) + 1)) AS t(i)),
+f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS first_id FROM v),
+gone AS (SELECT DISTINCT doc_id, p FROM f, unnest(range(i, i + 50)) AS t(p) WHERE first_id < doc_id),
+k AS (SELECT d.doc_id, p, w[p] AS word, gone.p IS NULL AS kept FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d) AS d LEFT JOIN gone USING (doc_id, p)),
+o AS (SELECT doc_id, count(*) FILTER (NOT kept) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY p) FILTER (kept), '') AS text FROM k GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(o.text, '')) AS kept_sha256 FROM d LEFT JOIN o USING (doc_id)
+"""
