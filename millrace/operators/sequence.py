@@ -12,21 +12,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
-ROWS_PER_RANGE, MAX_RANGES = 50_000, 1 << 16
+ROWS_PER_RANGE, MAX_RANGES, UNEVEN = 50_000, 1 << 16, 8
 
 
 def _ranges(df: DataFrame, order: list[str]) -> DataFrame:
-    """``df`` with ``__range``, growing with ``order``."""
-    kind = df.schema[order[0]].dataType
-    if isinstance(kind, T.IntegralType):
+    """``df`` with ``__range``, growing with ``order``.
+
+    Integer keys are cut into equal ranges, which needs no shuffle of its own. Where these hold very
+    uneven numbers of rows (few distinct keys, far outliers), or for other keys, rows are dealt by
+    sampled bounds of all ordering columns, which also splits a frequent first key; that result is
+    kept on disk, so that counts and positions see the same ranges (``spark.catalog.clearCache()``
+    frees it).
+    """
+    if isinstance(df.schema[order[0]].dataType, T.IntegralType):
         first = F.col(order[0]).cast("long")
         low, high, n = df.agg(F.min(first), F.max(first), F.count("*")).first()
         if low is None:
-            return df.withColumn("__range", F.lit(0).cast("long"))
+            low = high = 0
         parts = max(1, min(MAX_RANGES, n // ROWS_PER_RANGE))
         width = (high - low) // parts + 1
         # nulls come first, as in an ascending sort
-        return df.withColumn("__range", F.coalesce(F.expr(f"(cast(`{order[0]}` as decimal(38,0)) - {low}) div {width}").cast("long"), F.lit(0).cast("long")))
+        even = df.withColumn("__range", F.coalesce(F.expr(f"(cast(`{order[0]}` as decimal(38,0)) - {low}) div {width}").cast("long"), F.lit(0).cast("long")))
+        if parts == 1 or even.groupBy("__range").count().agg(F.max("count")).first()[0] <= UNEVEN * n / parts:
+            return even
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     spread = df.repartitionByRange(parts, *[F.col(c).asc_nulls_first() for c in order])
     return spread.withColumn("__range", F.spark_partition_id().cast("long")).persist(StorageLevel.DISK_ONLY)

@@ -533,3 +533,15 @@ def test_stream_resumes_without_repeats(spark, tmp_path):
         q = run_stream(file_stream(spark, data, "id long"), Project(F.col("id") % 2 == 0), ParquetSink(out), check, ["id"], 3)
         q.awaitTermination(60)
     assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == list(range(0, 20, 2))
+
+
+def test_positions_of_uneven_keys(spark):
+    from millrace.operators.sequence import chunk_sizes, chunked, numbered, size_histogram
+
+    rows = spark.range(200_000).select(F.when(F.col("id") % 3 == 0, 10**15).otherwise(F.col("id") % 7).alias("k"), "id")
+    got = numbered(rows, ["k", "id"]).select(F.min("_seq"), F.max("_seq"), F.countDistinct("_seq"), F.min(F.when(F.col("k") == 10**15, F.col("_seq")))).first()
+    assert tuple(got) == (0, 199_999, 200_000, 200_000 - 66_667)
+    few = spark.createDataFrame([(3,), (None,), (1,), (None,)], "k long")
+    assert sorted((r["k"] is not None, r["_chunk"]) for r in chunked(few, ["k"], 2).collect()) == [(False, 0), (False, 0), (True, 1), (True, 1)]
+    assert numbered(few.limit(0), ["k"]).count() == 0 and chunk_sizes(few.limit(0), 3).count() == 0
+    assert [tuple(r) for r in chunk_sizes(few, 3).orderBy("chunk").collect()] == [(0, 3), (1, 1)] and sorted(tuple(r) for r in size_histogram(few, 3).collect()) == [(1, 1), (3, 1)]
