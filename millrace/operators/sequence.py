@@ -7,16 +7,18 @@ range) meet in one task.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
-ROWS_PER_RANGE, MAX_RANGES, UNEVEN = 50_000, 1 << 16, 8
+ROWS_PER_RANGE, MAX_RANGES, LITERAL_RANGES, UNEVEN = 50_000, 1 << 16, 1024, 8
 
 
-def _ranges(df: DataFrame, order: list[str]) -> DataFrame:
-    """``df`` with ``__range``, growing with ``order``.
+def _ranges(df: DataFrame, order: list[str]) -> tuple[DataFrame, dict[int, int] | None]:
+    """``df`` with ``__range``, growing with ``order``; and the rows of each range, if they are known.
 
     Integer keys are cut into equal ranges, which needs no shuffle of its own. Where these hold very
     uneven numbers of rows (few distinct keys, far outliers), or for other keys, rows are dealt by
@@ -33,19 +35,28 @@ def _ranges(df: DataFrame, order: list[str]) -> DataFrame:
         width = (high - low) // parts + 1
         # nulls come first, as in an ascending sort
         even = df.withColumn("__range", F.coalesce(F.expr(f"(cast(`{order[0]}` as decimal(38,0)) - {low}) div {width}").cast("long"), F.lit(0).cast("long")))
-        if parts == 1 or even.groupBy("__range").count().agg(F.max("count")).first()[0] <= UNEVEN * n / parts:
-            return even
+        if parts == 1:
+            return even, {0: n}
+        counts = dict(even.groupBy("__range").count().collect())  # at most MAX_RANGES rows
+        if max(counts.values()) <= UNEVEN * n / parts:
+            return even, counts
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     spread = df.repartitionByRange(parts, *[F.col(c).asc_nulls_first() for c in order])
-    return spread.withColumn("__range", F.spark_partition_id().cast("long")).persist(StorageLevel.DISK_ONLY)
+    return spread.withColumn("__range", F.spark_partition_id().cast("long")).persist(StorageLevel.DISK_ONLY), None
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "_seq") -> DataFrame:
     """``df`` with positions from 0 in the order of the columns ``order``."""
-    rows = _ranges(df, order)
-    before = rows.groupBy("__range").count().select("__range", (F.sum("count").over(Window.orderBy("__range")) - F.col("count")).alias("__before"))
+    rows, counts = _ranges(df, order)
     inside = F.row_number().over(Window.partitionBy("__range").orderBy(*[F.col(c).asc_nulls_first() for c in order]))
-    return rows.withColumn("__inside", inside).join(before, "__range").withColumn(name, (F.col("__before") + F.col("__inside") - 1).cast("long")).drop("__range", "__before", "__inside")
+    rows = rows.withColumn("__inside", inside)
+    if counts is not None and max(counts, default=0) < LITERAL_RANGES:
+        before = [0, *accumulate(counts.get(i, 0) for i in range(max(counts, default=0)))]
+        rows = rows.withColumn("__before", F.expr(f"element_at(array({', '.join(f'{n}L' for n in before)}), cast(__range as int) + 1)"))
+    else:
+        sizes = df.sparkSession.createDataFrame(sorted(counts.items()), "__range long, count long") if counts is not None else rows.groupBy("__range").count()
+        rows = rows.join(sizes.select("__range", (F.sum("count").over(Window.orderBy("__range")) - F.col("count")).alias("__before")), "__range")
+    return rows.withColumn(name, (F.col("__before") + F.col("__inside") - 1).cast("long")).drop("__range", "__before", "__inside")
 
 
 def chunk_of(position: Column, size: int) -> Column:
