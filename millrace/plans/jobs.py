@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 import signal
 import threading
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from datetime import timedelta
 from enum import Enum
@@ -18,11 +18,20 @@ from millrace.plans.telemetry import TELEMETRY
 log = logging.getLogger("millrace")
 
 
+class JobListener:
+    """Called around a job; override what is wanted."""
+
+    def before_job(self, execution: JobExecution) -> None: ...
+
+    def after_job(self, execution: JobExecution) -> None: ...
+
+
 class Job:
     """``execute`` makes an execution of its own, or goes on with the launcher's."""
 
     name: str
     repository: Repository
+    listeners: Sequence[JobListener] = ()
 
     def execute(self, parameters: Parameters | None = None, execution: JobExecution | None = None) -> JobExecution:
         parameters = parameters or Parameters()
@@ -33,12 +42,16 @@ class Job:
         execution.status = Status.STARTED
         self.repository.update_job(execution)
         try:
+            for x in self.listeners:
+                x.before_job(execution)
             with TELEMETRY.span("job", job=self.name):
                 self.run(execution)
         except Exception as e:
             execution.status, execution.failure, execution.failure_message = Status.FAILED, e, str(e)[:4000]
         execution.end_time = now()
         self.repository.update_job(execution)
+        for x in self.listeners:
+            x.after_job(execution)
         TELEMETRY.add("jobs.failed" if execution.status == Status.FAILED else "jobs.completed" if execution.status == Status.COMPLETED else "jobs.stopped")
         return execution
 
@@ -53,8 +66,8 @@ class Job:
 
 
 class SequentialJob(Job):
-    def __init__(self, name: str, repository: Repository, steps: list[Step]):
-        self.name, self.repository, self.steps = name, repository, steps
+    def __init__(self, name: str, repository: Repository, steps: list[Step], listeners: Sequence[JobListener] = ()):
+        self.name, self.repository, self.steps, self.listeners = name, repository, steps, listeners
 
     def run(self, execution: JobExecution) -> None:
         for step in self.steps:
@@ -78,14 +91,18 @@ class SequentialJob(Job):
 
 class JobBuilder:
     def __init__(self, name: str, repository: Repository):
-        self._name, self._repository, self._steps = name, repository, []
+        self._name, self._repository, self._steps, self._listeners = name, repository, [], []
 
     def step(self, step: Step) -> JobBuilder:
         self._steps.append(step)
         return self
 
+    def listener(self, *listeners: JobListener) -> JobBuilder:
+        self._listeners += listeners
+        return self
+
     def build(self) -> SequentialJob:
-        return SequentialJob(self._name, self._repository, list(self._steps))
+        return SequentialJob(self._name, self._repository, list(self._steps), list(self._listeners))
 
 
 class Action(Enum):

@@ -9,12 +9,14 @@ are computed once and kept on disk while the groups are written.
 from __future__ import annotations
 
 import threading
+import uuid
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager, nullcontext
 from datetime import timedelta
 from enum import Enum
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -61,7 +63,7 @@ class DeadLetterListener(ChunkListener):
 
 
 class Stop:
-    """Asks running steps to end after the group at hand."""
+    """Asks running steps to end after the group at hand; one that takes longer than ``drain`` is cancelled and fails."""
 
     def __init__(self, drain: timedelta = timedelta(seconds=30)):
         self.drain, self._event = drain, threading.Event()
@@ -73,6 +75,28 @@ class Stop:
     def requested(self) -> bool:
         return self._event.is_set()
 
+    @contextmanager
+    def watching(self, spark: SparkSession):
+        """Cancels this thread's Spark jobs ``drain`` after a request, unless the block has ended."""
+        group, done = f"millrace-{uuid.uuid4().hex}", threading.Event()
+        spark.sparkContext.setJobGroup(group, "chunk step", True)
+
+        def watch() -> None:
+            while not done.is_set():
+                if self._event.wait(0.05):
+                    if not done.wait(self.drain.total_seconds()):
+                        spark.sparkContext.cancelJobGroup(group)
+                    return
+
+        thread = threading.Thread(target=watch, daemon=True)
+        thread.start()
+        try:
+            yield
+        finally:
+            done.set()
+            thread.join()
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
 
 class Step:
     name: str
@@ -117,6 +141,10 @@ class ChunkStep(Step):
 
     def _run(self, step: StepExecution) -> bool:
         source_rows = self.source.open(step.context)
+        with self.stop.watching(source_rows.sparkSession) if self.stop is not None else nullcontext():
+            return self._work(step, source_rows)
+
+    def _work(self, step: StepExecution, source_rows: DataFrame) -> bool:
         rows = self.plan(step.context).persist(StorageLevel.DISK_ONLY)
         try:
             outcome = apply_policy(rows, self.skip)

@@ -545,3 +545,35 @@ def test_positions_of_uneven_keys(spark):
     assert sorted((r["k"] is not None, r["_chunk"]) for r in chunked(few, ["k"], 2).collect()) == [(False, 0), (False, 0), (True, 1), (True, 1)]
     assert numbered(few.limit(0), ["k"]).count() == 0 and chunk_sizes(few.limit(0), 3).count() == 0
     assert [tuple(r) for r in chunk_sizes(few, 3).orderBy("chunk").collect()] == [(0, 3), (1, 1)] and sorted(tuple(r) for r in size_histogram(few, 3).collect()) == [(1, 1), (3, 1)]
+
+
+def test_drain_timeout_cancels(spark, repo):
+    stop = Stop(timedelta(seconds=0.5))
+
+    def slow(row):
+        time.sleep(20)
+        return row
+
+    step = StepBuilder(repo).source(ints(spark, 1, 4)).processor(PythonMap(slow, "value int")).sink(MemorySink()).graceful_stop(stop).build("s")
+    threading.Timer(2, stop.request).start()
+    at = time.time()
+    assert run(repo, step).status == Status.FAILED and time.time() - at < 20
+    assert spark.range(3).count() == 3
+
+
+def test_job_listener_and_telemetry(repo):
+    from millrace.plans.jobs import JobListener
+    from millrace.plans.telemetry import TELEMETRY
+
+    seen, heard = [], []
+
+    class Watch(JobListener):
+        def before_job(self, execution):
+            seen.append(execution.status)
+
+        def after_job(self, execution):
+            seen.append(execution.status)
+
+    TELEMETRY.listen(lambda kind, name, value, tags: heard.append((kind, name)))
+    JobBuilder("watched", repo).step(Fixed(repo, "a", Status.COMPLETED)).listener(Watch()).build().execute()
+    assert seen == [Status.STARTED, Status.COMPLETED] and ("counter", "jobs.completed") in heard and ("span", "job") in heard
