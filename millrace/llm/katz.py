@@ -16,7 +16,8 @@ pairs meet in one task. A document's score is
 
 where the first sum is taken as the text is read and the second in the blocks.
 
-Vocabulary and backoff weights are broadcast: at most ``vocabulary`` entries, whatever the corpus.
+Vocabulary and backoff weights are broadcast: at most ``vocabulary`` entries, whatever the corpus;
+and the pairs that make up a 200,000th of all tokens each, so that none of them meets in one task.
 Counts cover the whole training part; equal texts are scored once and share the result.
 
 Results for odd input: a null or wordless text is one end token; a null key is training text; an
@@ -37,11 +38,13 @@ from millrace.llm import postings as P
 from millrace.llm import words as W
 from millrace.llm.scratch import Scratch
 
-VOCABULARY, CUTOFF, CHUNK = 1 << 20, 5, 8 << 20
+VOCABULARY, CUTOFF, CHUNK = 1 << 20, 5, 4 << 20
 #: Ids: 0 the class of rare words, 1 the end, 2 the start (a history only), then words by falling count.
 RARE, END, START, FIRST = 0, 1, 2, 3
-#: Histories with smaller ids are dealt by pair.
-FREQUENT = 4096
+#: Histories with smaller ids are dealt by pair; pairs with this share of all tokens (so at most 1 / share of them) are broadcast.
+FREQUENT, COMMON_SHARE, COMMON_LEAST = 4096, 1 / 200_000, 64
+#: Stands for a text's presence among its pairs.
+PRESENT = (1 << 48) - 1
 
 
 def discounts(n: list[float], cutoff: int = CUTOFF) -> np.ndarray:
@@ -133,14 +136,25 @@ def read(batches, model: dict):
         own = model["log_a"][(pair >> np.uint64(24)).astype(np.int64)] + model["log_p"][(pair & np.uint64((1 << 24) - 1)).astype(np.int64)]
         own[np.flatnonzero((pair & np.uint64((1 << 24) - 1)) == RARE)] += model["log_rare"]
         pair_row = np.repeat(np.arange(rows), np.diff(first) + 1)
+        common, at = places(model["common"], pair)
+        own[common] += model["common_value"][at[common]]
+        posted = np.bincount(pair_row[~common], minlength=rows) + 1
         known = w != RARE
         base = np.bincount(row[known], model["log_base"][w[known].astype(np.int64)], rows) + model["log_base"][END]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("held_out"), pa.array(keys(h, first)), pa.array(np.diff(first) + 1), pa.array(np.bincount(row[known], minlength=rows) + model["end_known"]), pa.array(base), pa.array(np.bincount(pair_row, own, rows))],
-            ["doc_id", "held_out", "key", "n_tokens", "known", "base", "own"],
+            [batch.column("doc_id"), batch.column("held_out"), pa.array(keys(h, first)), pa.array(np.diff(first) + 1), pa.array(np.bincount(row[known], minlength=rows) + model["end_known"]), pa.array(base), pa.array(np.bincount(pair_row, own, rows)), pa.array(posted.astype(np.int64))],
+            ["doc_id", "held_out", "key", "n_tokens", "known", "base", "own", "posted"],
         )
 
 
+def places(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``x`` are in a sorted table, and where."""
+    if not len(table):
+        return np.zeros(len(x), bool), np.zeros(len(x), np.int64)
+    at = np.minimum(np.searchsorted(table, x), len(table) - 1)
+    return table[at] == x, at
+
+
 def keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each row's word sequence."""
     n = np.diff(first)
@@ -150,8 +164,8 @@ def keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return W.mix(sums[first[1:]] - sums[first[:-1]] + n.astype(np.uint64)).view(np.int64)
 
 
-def post(batches, parts: int, vocab: np.ndarray, ids: np.ndarray):
-    """kind 0: a text's pairs, kind 1: its rare words; each text of a task once."""
+def post(batches, parts: int, vocab: np.ndarray, ids: np.ndarray, common: np.ndarray):
+    """kind 0: a text's pairs but the common ones, kind 1: its rare words; each text of a task once."""
     done: set[int] = set()
     for batch in W.chunks(batches, CHUNK):
         h, w, first, pair = tokens(batch.column("text"), vocab, ids)
@@ -162,13 +176,21 @@ def post(batches, parts: int, vocab: np.ndarray, ids: np.ndarray):
                 done.add(k)
                 take[i] = True
         for kind, row, token, block in ((0, np.repeat(np.arange(len(key)), np.diff(first) + 1), pair, pair_parts), (1, np.repeat(np.arange(len(key)), np.diff(first)), h, lambda x, n: P.parts_of(W.mix(x), n))):
-            mine = take[row] if kind == 0 else take[row] & (w == RARE)
+            mine = take[row] & (~places(common, token)[0] if kind == 0 else w == RARE)
             row, token = row[mine], token[mine]
             yield from P.rows(kind, P.pack(block(token, parts), key[row], token))
+        mine = key[take]
+        yield from P.rows(0, P.pack(P.parts_of(mine.view(np.uint64), parts), mine, np.full(len(mine), PRESENT, np.uint64)))
+
 
+def gain(model: dict, pair: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """log P(w | h) - log a(h) - log P(w) of seen pairs."""
+    h, w = (pair >> np.uint64(24)).astype(np.int64), (pair & np.uint64((1 << 24) - 1)).astype(np.int64)
+    return np.log10(discounted(c, model["d"])) - model["log_c"][h] - model["log_a"][h] - model["log_p"][w]
 
-def look_up(batches, model: dict):
-    """One block: for each text the sums over its seen pairs and its rare words."""
+
+def look_up(batches, model: dict, parts: int):
+    """One block: for each text the sums over its seen pairs (kind 0) and its rare words (kind 1), packed by text."""
     blobs = P.gather(batches)
     counts = {kind: merged(blobs.pop(kind, [])) for kind in (2, 3)}
     for kind in (0, 1):
@@ -188,21 +210,47 @@ def look_up(batches, model: dict):
         seen = have[place] == token if len(have) else np.zeros(len(token), bool)
         c = np.where(seen, c[place], 0) if len(have) else np.zeros(len(token), np.int64)
         if kind == 0:
-            h, w = (token >> np.uint64(24)).astype(np.int64), (token & np.uint64((1 << 24) - 1)).astype(np.int64)
-            value = np.where(seen, np.log10(np.maximum(discounted(c, model["d"]), 1e-300)) - model["log_c"][h] - model["log_a"][h] - model["log_p"][w], 0.0)
+            value = np.zeros(len(token))
+            value[seen] = gain(model, token[seen], c[seen])
         else:
             value = np.log10((c + 0.5) / (model["N"] + 0.5 * (model["V"] + 1)))
         text, at = np.unique(key, return_inverse=True)
-        value, known = np.bincount(at, value * times, len(text)), np.bincount(at, seen * times, len(text)).astype(np.int64)
-        zero = np.zeros(len(text))
-        yield pa.RecordBatch.from_arrays([pa.array(text), pa.array(np.bincount(at, times, len(text)).astype(np.int64)), pa.array(known), pa.array(zero if kind == 0 else value), pa.array(value if kind == 0 else zero), pa.array(np.full(len(text), kind, np.int32))], ["key", "n", "known", "base", "seen", "kind"])
+        n = np.bincount(at, times if kind == 0 else seen * times, len(text)).astype("<u4")
+        yield from P.rows(kind, packed_sums(P.parts_of(text.view(np.uint64), parts), text, n, np.bincount(at, value * times, len(text))))
+
+
+def packed_sums(part: np.ndarray, key: np.ndarray, n: np.ndarray, value: np.ndarray):
+    order = np.argsort(part, kind="stable")
+    part, key, n, value = part[order], key[order].astype("<i8"), n[order], value[order].astype("<f8")
+    edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        yield int(part[a]), b"".join([np.array([b - a], "<u4").tobytes(), key[a:b].tobytes(), n[a:b].tobytes(), value[a:b].tobytes()])
+
+
+def total(batches):
+    """All blocks' sums of each text: pairs and their sum, known rare words and all rare words' sum."""
+    key, values = {}, {}
+    for kind, blobs in P.gather(batches).items():
+        got: list[list[np.ndarray]] = [[], [], []]
+        for blob in blobs:
+            k = int(np.frombuffer(blob, "<u4", 1)[0])
+            for column, (kind_of, at) in zip(got, (("<i8", 4), ("<u4", 4 + 8 * k), ("<f8", 4 + 12 * k)), strict=True):
+                column.append(np.frombuffer(blob, kind_of, k, at))
+        key[kind], at = np.unique(np.concatenate(got[0]), return_inverse=True)
+        values[kind] = [np.bincount(at, np.concatenate(x), len(key[kind])) for x in got[1:]]
+    if 0 in key:
+        known, base = np.zeros(len(key[0])), np.zeros(len(key[0]))
+        if 1 in key:
+            at = np.searchsorted(key[0], key[1])  # every text has pairs
+            known[at], base[at] = values[1]
+        yield pa.RecordBatch.from_arrays([pa.array(key[0]), *[pa.array(x) for x in (*values[0], known, base)]], ["key", "n", "s_seen", "s_known", "s_base"])
 
 
 def fit(train: DataFrame, scratch: Scratch, vocabulary: int = VOCABULARY) -> tuple[dict, DataFrame]:
     """The model's broadcast part, and the table of word (kind 3) and pair (kind 2) counts."""
     parts, train = P.shuffle_parts(train), train.select("text")
     block = "kind int, token long, c long"
-    words = scratch.save(P.dealt(train.mapInArrow(lambda it: count_words(it, parts), P.SCHEMA), parts).mapInArrow(sum_counts, block).select(F.lit(3).alias("kind"), "token", "c"))
+    words = scratch.save(P.dealt(train.mapInArrow(lambda it: count_words(it, parts), P.SCHEMA), parts).mapInArrow(sum_counts, block).select(F.lit(3).alias("kind"), "token", "c"), sorted_numbers=True)
     rows = train.count()
     histogram = sorted((r[0], r[1]) for r in words.groupBy("c").count().collect())  # distinct counts: at most sqrt(2 N)
     N = sum(c * n for c, n in histogram) + rows
@@ -230,7 +278,7 @@ def fit(train: DataFrame, scratch: Scratch, vocabulary: int = VOCABULARY) -> tup
     model["log_base"] = np.log10((by_id + 0.5) / (N + 0.5 * (V + 1)))
     lexicon = train.sparkSession.sparkContext.broadcast((vocab, ids))
     posted = train.mapInArrow(lambda it: count_pairs(it, parts, *lexicon.value), P.SCHEMA)
-    pairs = scratch.save(P.dealt(posted, parts).mapInArrow(sum_counts, block))
+    pairs = scratch.save(P.dealt(posted, parts).mapInArrow(sum_counts, block), sorted_numbers=True)
     scratch.sweep()
     n2 = {x[0]: x[1] for x in pairs.where(F.col("c") <= CUTOFF + 1).groupBy("c").count().collect()}
     model["d"] = d = discounts([0.0, *[float(n2.get(x, 0)) for x in range(1, CUTOFF + 2)]])
@@ -242,6 +290,10 @@ def fit(train: DataFrame, scratch: Scratch, vocabulary: int = VOCABULARY) -> tup
     log_a[h] = np.log10((1 - dc / full) / np.maximum(1 - p, 1e-12))
     log_c[h] = np.log10(full)
     model |= {"log_a": log_a, "log_c": log_c}
+    common = pairs.where(F.col("c") >= max(COMMON_LEAST, N * COMMON_SHARE)).select("token", "c").toArrow()
+    token, c = np.asarray(common.column(0)).view(np.uint64), np.asarray(common.column(1))
+    order = np.argsort(token)
+    model |= {"common": token[order], "common_value": gain(model, token[order], c[order])}
     return model, words.union(pairs)
 
 
@@ -251,17 +303,17 @@ def score(df: DataFrame, train: Column, key: str = "doc_id", vocabulary: int = V
     df = df.select(F.col(key).alias("doc_id"), (~train).alias("held_out"), "text")
     model, tables = fit(df.where(~F.col("held_out")), scratch, vocabulary)
     shared = spark.sparkContext.broadcast(model)
-    schema = f"doc_id {df.schema['doc_id'].dataType.simpleString()}, held_out boolean, key long, n_tokens long, known long, base double, own double"
+    schema = f"doc_id {df.schema['doc_id'].dataType.simpleString()}, held_out boolean, key long, n_tokens long, known long, base double, own double, posted long"
     rows = df.mapInArrow(lambda it: read(it, shared.value), schema)
-    posted = df.select("text").mapInArrow(lambda it: post(it, parts, shared.value["vocab"], shared.value["ids"]), P.SCHEMA)
+    posted = df.select("text").mapInArrow(lambda it: post(it, parts, shared.value["vocab"], shared.value["ids"], shared.value["common"]), P.SCHEMA)
     posted = posted.union(tables.mapInArrow(lambda it: packed(it, parts), P.SCHEMA))
-    found = P.dealt(posted, parts).mapInArrow(lambda it: look_up(it, shared.value), "key long, n long, known long, base double, seen double, kind int")
-    # a text sent by k tasks has k times its n_tokens pairs here: k is told by the pairs, and divides all sums
-    sums = scratch.save(found.groupBy("key").agg(F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("n"), *[F.sum(c).alias("s_" + c) for c in ("known", "base", "seen")], F.sum(F.when(F.col("kind") == 1, F.col("known")).otherwise(0)).alias("s_rare")))
+    found = P.dealt(posted, parts).mapInArrow(lambda it: look_up(it, shared.value, parts), P.SCHEMA)
+    sums = scratch.save(P.dealt(found, parts).mapInArrow(total, "key long, n double, s_seen double, s_known double, s_base double"))
     scratch.sweep()
-    k = F.col("n") / F.col("n_tokens")
+    # a text sent by k tasks has k times its entries here: k is told by their number, and divides all sums
+    k = F.col("n") / F.col("posted")
     return rows.join(sums, "key").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.round(F.col("s_rare") / k)).cast("long").alias("n_known"), F.lit(model["N"]).cast("long").alias("train_tokens"), (F.col("base") + F.col("s_base") / k).alias("base_score"), (F.col("own") + F.col("s_seen") / k).alias("score")
+        "doc_id", "held_out", "n_tokens", (F.col("known") + F.round(F.col("s_known") / k)).cast("long").alias("n_known"), F.lit(model["N"]).cast("long").alias("train_tokens"), (F.col("base") + F.col("s_base") / k).alias("base_score"), (F.col("own") + F.col("s_seen") / k).alias("score")
     )
 
 

@@ -7,6 +7,8 @@ only where that is unset (tests, local runs) one under the system's temporary fo
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -32,12 +34,21 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
         self.paths: dict[int, str] = {}
+        atexit.register(self._remove)  # results may read the tables until the session ends
 
-    def save(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` and return it as a plain scan."""
+    def _remove(self) -> None:
+        with contextlib.suppress(Exception):  # the session may be gone
+            self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+    def save(self, df: DataFrame, sorted_numbers: bool = False) -> DataFrame:
+        """Write ``df`` and return it as a plain scan; ``sorted_numbers`` are stored as differences."""
         self.n += 1
         path, schema = f"{self.root}/{self.n}", df.schema
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("parquet.writer.version", "v2" if sorted_numbers else "v1").option("parquet.enable.dictionary", str(not sorted_numbers).lower()).parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         self.paths[id(out)] = path
         return out
@@ -47,12 +58,10 @@ class Scratch:
         for df in tables:
             path = self.paths.pop(id(df), None)
             if path:
-                jvm = self.spark.sparkContext._jvm
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+                self._delete(path)
         self.sweep()
 
     def sweep(self) -> None:
-        """Let Spark's cleaner remove the shuffle files of finished steps."""
+        """Let Spark's cleaner remove what finished steps have left behind."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
