@@ -48,7 +48,8 @@ class Scratch:
         """Write ``df`` and return it as a plain scan; ``sorted_numbers`` are stored as differences."""
         self.n += 1
         path, schema = f"{self.root}/{self.n}", df.schema
-        df.write.option("compression", "zstd").option("parquet.writer.version", "v2" if sorted_numbers else "v1").option("parquet.enable.dictionary", str(not sorted_numbers).lower()).parquet(path)
+        with shuffles_removed(self.spark):
+            df.write.option("compression", "zstd").option("parquet.writer.version", "v2" if sorted_numbers else "v1").option("parquet.enable.dictionary", str(not sorted_numbers).lower()).parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         self.paths[id(out)] = path
         return out
@@ -65,3 +66,18 @@ class Scratch:
         """Let Spark's cleaner remove what finished steps have left behind."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
+
+
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Shuffle files go as soon as the query that wrote them has ended: nothing reads a saved table's again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
