@@ -104,9 +104,9 @@ def bundled(batches):
         yield pa.RecordBatch.from_arrays([pa.array([lang] * DIM), pa.array(np.arange(DIM, dtype=np.int32)), pa.array(v)], ["lang", "place", "value"])
 
 
-def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and their prototypes (unit vectors) from columns text and lang."""
-    rows = labelled.where("text is not null and lang is not null").select("text", "lang")
+def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, key: str = "doc_id") -> tuple[list[str], np.ndarray]:
+    """Languages and their prototypes (unit vectors) from columns text and lang; ``key`` draws the sample."""
+    rows = labelled.where("text is not null and lang is not null").select("text", "lang", key)
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each label
     if not counts:
         return [], np.zeros((0, DIM))
@@ -114,8 +114,8 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str], n
     for lang, n in counts.items():
         if n > train_rows:
             rate = F.when(F.col("lang") == lang, F.lit(train_rows / n)).otherwise(rate)
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    sums = rows.where(draw < rate).mapInArrow(bundled, "lang string, place int, value long").groupBy("lang", "place").agg(F.sum("value").alias("value"))
+    draw = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30)
+    sums = rows.where(draw < rate).select("text", "lang").mapInArrow(bundled, "lang string, place int, value long").groupBy("lang", "place").agg(F.sum("value").alias("value"))
     langs = sorted(counts)
     out = np.zeros((len(langs), DIM))
     for r in sums.collect():  # languages x DIM numbers
@@ -152,6 +152,6 @@ def held_out(key: Column, parts: int = 3) -> Column:
 
 def op10(docs: DataFrame) -> DataFrame:
     """The predicted language of each of ``documents``, learned from two thirds of them."""
-    model = fit(docs.where(~held_out(F.col("doc_id"))).select("text", "lang"))
+    model = fit(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     return predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
