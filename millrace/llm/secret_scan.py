@@ -75,7 +75,7 @@ def with_features(found: DataFrame, dictionary: DataFrame, scratch: Scratch) ->
 def learned_words(docs: DataFrame) -> DataFrame:
     """The dictionary: the most frequent letters-only words of a seeded sample of texts."""
     n = max(docs.count(), 1)
-    draw = F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
     words = docs.where(draw < DICTIONARY_DOCS / n).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("(?<![a-z])[a-z]{3,}+(?![a-z])"), F.lit(0))).alias("word"))
     return words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(DICTIONARY).select("word")
 
@@ -112,7 +112,7 @@ def fit(findings: DataFrame, dictionary: DataFrame, scratch: Scratch) -> RandomF
 def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """(doc_id, h, start, end, match, p, secret) of every candidate in ``docs`` (doc_id, text)."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "secrets")
-    dictionary = scratch.save(learned_words(docs.select("text")))
+    dictionary = scratch.save(learned_words(docs.select("doc_id", "text")))
     model = fit(findings if findings is not None else generated_findings(spark), dictionary, scratch)
     found = scratch.save(candidates(docs))
     judged = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(found, dictionary, scratch)))
