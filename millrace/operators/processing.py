@@ -10,10 +10,11 @@ from __future__ import annotations
 import traceback
 from collections.abc import Callable, Iterable, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: types: the error's class and its bases by name, so that a policy can match subclasses.
 ERROR = T.StructType([T.StructField("types", T.ArrayType(T.StringType())), T.StructField("message", T.StringType()), T.StructField("stack", T.StringType()), T.StructField("attempts", T.IntegerType())])
@@ -107,10 +108,12 @@ class PythonMap(Processor):
         out = T.StructType(([T.StructField("_seq", T.LongType())] if has_seq else []) + list(kind.fields) + [T.StructField("_item", T.StringType()), T.StructField("_err", ERROR)])
         names = kind.fieldNames()
 
+        arrow = to_arrow_schema(out)
+
         def run(batches):
-            for pdf in batches:
+            for batch in batches:
                 rows = []
-                for item in pdf.to_dict("records"):
+                for item in batch.to_pylist():
                     seq, before, item_json = item.pop("_seq", None), item.pop("_err", None) if had_err else None, item.pop("__json")
                     result, err = None, before
                     for n in range(1, attempts + 1) if err is None else ():
@@ -122,8 +125,8 @@ class PythonMap(Processor):
                     if result is None and err is None:
                         continue
                     row = {"_seq": seq, **{c: (result or {}).get(c) for c in names}, "_item": item_json if err is not None else None, "_err": err}
-                    rows.append([row[f] for f in out.fieldNames()])
-                yield pd.DataFrame(rows, columns=out.fieldNames(), dtype=object)
+                    rows.append({f: row[f] for f in arrow.names})
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
         carried = [c for c in ("_seq", "_err") if c in df.columns]
-        return df.select(*carried, *own, F.to_json(F.struct(*own), {"ignoreNullFields": "false"}).alias("__json")).mapInPandas(run, out)
+        return df.select(*carried, *own, F.to_json(F.struct(*own), {"ignoreNullFields": "false"}).alias("__json")).mapInArrow(run, out)

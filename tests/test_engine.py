@@ -577,3 +577,9 @@ def test_job_listener_and_telemetry(repo):
     TELEMETRY.listen(lambda kind, name, value, tags: heard.append((kind, name)))
     JobBuilder("watched", repo).step(Fixed(repo, "a", Status.COMPLETED)).listener(Watch()).build().execute()
     assert seen == [Status.STARTED, Status.COMPLETED] and ("counter", "jobs.completed") in heard and ("span", "job") in heard
+
+
+def test_python_functions_see_nulls_and_whole_numbers(spark):
+    rows = MemorySource(spark, [(1, None), (None, "x"), (2**53 + 1, "y")], "n long, s string").open()
+    got = PythonMap(lambda r: {"n": r["n"], "shown": repr((r["n"], r["s"]))}, "n long, shown string").apply(rows).orderBy("_seq").collect()
+    assert [(r["n"], r["shown"]) for r in got] == [(1, "(1, None)"), (None, "(None, 'x')"), (2**53 + 1, f"({2**53 + 1}, 'y')")]
