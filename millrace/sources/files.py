@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.scalars import is_blank
 from millrace.model import Context
+from millrace.operators.sequence import numbered
 
 
 def number_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -99,7 +100,7 @@ class XmlSource:
         kind = self.schema if isinstance(self.schema, T.StructType) else T._parse_datatype_string(self.schema)
         if self.native:
             rows = self.spark.read.format("xml").option("rowTag", self.element).schema(kind).load(self.path).withColumn("__m", F.monotonically_increasing_id())
-            rows = rows.withColumn("_seq", F.row_number().over(Window.orderBy("__m")).cast("long")).drop("__m")
+            rows = numbered(rows, ["__m"], "__at").withColumn("_seq", F.col("__at") + 1).drop("__m", "__at")
         else:
             name, mapper, fields = self.element, self.mapper or child_texts(kind), kind.fieldNames()
 

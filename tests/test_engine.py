@@ -475,6 +475,8 @@ def test_xml(spark, tmp_path):
     c = Context()
     source.save(c, 3)
     assert source.open(c).count() == 1
+    native = XmlSource(spark, str(path), "order", "id int, name string", native=True).open(Context()).select("_seq", "id", "name")
+    assert [tuple(r) for r in native.orderBy("_seq").collect()] == [(1, 1, "a"), (2, 2, "b"), (3, 1, "a"), (4, 2, "b")]
     (tmp_path / "n.xml").write_text("<r><o><id>1</id><o><id>2</id></o></o></r>")
     assert [r["id"] for r in XmlSource(spark, str(tmp_path / "n.xml"), "o", "id int").open(Context()).orderBy("_seq").collect()] == [1, 2]
     (tmp_path / "e.xml").write_text("<r/>")
