@@ -217,13 +217,14 @@ def links(docs: DataFrame, scratch: Scratch, size: int, percent: int) -> tuple[D
         need = F.ceil(F.lit(percent) * (na + nb) / F.lit(100 + percent))
         return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.least(na - pa_, nb - pb) >= need)
 
-    hub = entries.groupBy("tok").agg(F.min(F.struct("own", "n", "cid", "pos")).alias("hub"), F.count("*").alias("k")).where("k > 1").select("tok", "hub")
+    # saved, so that the join deals both sides anew and adaptive execution can split a frequent shingle's entries
+    hub = scratch.save(entries.groupBy("tok").agg(F.min(F.struct("own", "n", "cid", "pos")).alias("hub"), F.count("*").alias("k")).where("k > 1").select("tok", "hub"))
     near = entries.join(hub, "tok").where((F.col("cid") != F.col("hub.cid")) & allowed(F.col("n"), F.col("hub.n"), F.col("pos"), F.col("hub.pos")))
     pairs = near.select(F.least("cid", "hub.cid").alias("a"), F.greatest("cid", "hub.cid").alias("b")).distinct()
     first = scratch.save(verified(pairs, sets, percent))
     roots = components(first, scratch)
     named = entries.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    largest = named.groupBy("tok", "root").count().groupBy("tok").agg(F.max(F.struct("count", "root")).alias("top"), F.count("*").alias("k")).where("k > 1").select("tok", F.col("top.root").alias("top"))
+    largest = scratch.save(named.groupBy("tok", "root").count().groupBy("tok").agg(F.max(F.struct("count", "root")).alias("top"), F.count("*").alias("k")).where("k > 1").select("tok", F.col("top.root").alias("top")))
     mixed = scratch.save(named.join(largest, "tok"))
     x = mixed.where("root <> top").select("tok", *[F.col(c).alias("x_" + c) for c in ("cid", "n", "pos", "root")])
     y = mixed.select("tok", "top", *[F.col(c).alias("y_" + c) for c in ("cid", "n", "pos", "root")])
@@ -232,7 +233,7 @@ def links(docs: DataFrame, scratch: Scratch, size: int, percent: int) -> tuple[D
     pairs = rest.select(F.least("x_cid", "y_cid").alias("a"), F.greatest("x_cid", "y_cid").alias("b")).distinct()
     second = scratch.save(verified(pairs, sets, percent))
     out = components(first.union(second), scratch)
-    scratch.drop(roots, mixed, first, second, sets)
+    scratch.drop(roots, hub, largest, mixed, first, second, sets)
     return documents, out
 
 
