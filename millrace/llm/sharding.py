@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: Fixed values of the round function: a Mersenne prime and a multiplier and addend for each round.
 PRIME = 2147483647
 ROUND_KEYS = [(1103515245, 12345), (69069, 1013904223), (1664525, 907633385), (48271, 1442695041), (16807, 305419896), (742938285, 271828183)]
-ROWS_PER_BUCKET, MAX_BUCKETS, WALKS = 20_000, 1 << 20, 40
+ROWS_PER_BUCKET, MAX_BUCKETS, WALKS = 2_000, 1 << 20, 40
 
 
 def bucket_of(key: Column, buckets: int, seed: int) -> Column:
