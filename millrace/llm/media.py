@@ -1,9 +1,9 @@
 """Media columns: cropped and edited copies by local image descriptors.
 
 Corners (Harris) are found on a pyramid of scales; each gets an orientation from its patch's
-intensity centroid and 256 binary tests, turned by that orientation. A descriptor is cut into eight
-32-bit codes: two descriptors within a Hamming distance of 7 share one, so joining on (table, code)
-finds all of them. Two images are copies if a similarity transform (scale, turn, shift) maps at
+intensity centroid and 256 binary tests, turned by that orientation. A descriptor is cut into four
+64-bit codes: two descriptors within a Hamming distance of 3 share one, so joining on (table, code)
+finds all of them, and codes are long enough that unrelated descriptors hardly ever meet. Two images are copies if a similarity transform (scale, turn, shift) maps at
 least ``consensus`` matched corners of one onto the other.
 
 Equal images form a class first. Then each code's images are compared with the code's smallest id, and
@@ -32,7 +32,7 @@ from millrace.llm import words as W
 from millrace.llm.components import components
 from millrace.llm.scratch import Scratch
 
-SIDE, LEVELS, SHRINK, CORNERS, CONSENSUS, RADIUS, TURNS, DISTANCE = 96, 3, 0.75, 24, 6, 8, 36, 7
+SIDE, LEVELS, SHRINK, CORNERS, CONSENSUS, RADIUS, TURNS, DISTANCE = 96, 3, 0.75, 24, 6, 8, 36, 3
 MARGIN = RADIUS + 3
 
 
@@ -88,8 +88,9 @@ def tests() -> np.ndarray:
 
 
 def describe(image: np.ndarray, pattern: np.ndarray, corners: int = CORNERS) -> tuple[np.ndarray, np.ndarray]:
-    """Corners (y, x, scale, angle) in pixels of the image, and their descriptors (n, 8) of 32-bit codes."""
+    """Corners (y, x, scale, angle) in pixels of the image, and their descriptors (n, 4) of 64-bit codes."""
     found: list[tuple[np.ndarray, ...]] = []
+    smooth: list[tuple[np.ndarray, float]] = []
     disc_y, disc_x = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
     disc = disc_y**2 + disc_x**2 <= RADIUS**2
     disc_y, disc_x = disc_y[disc], disc_x[disc]
@@ -110,20 +111,26 @@ def describe(image: np.ndarray, pattern: np.ndarray, corners: int = CORNERS) ->
         ok[:MARGIN], ok[-MARGIN:], ok[:, :MARGIN], ok[:, -MARGIN:] = False, False, False, False
         y, xx = np.nonzero(ok)
         if len(y):
-            smooth = box(x, 1)
-            patch = smooth[y[:, None] + disc_y, xx[:, None] + disc_x]
-            angle = np.arctan2((patch * disc_y).sum(1), (patch * disc_x).sum(1))
-            turn = np.rint(angle / (2 * np.pi / TURNS)).astype(int) % TURNS
-            p = pattern[turn]
-            bits = smooth[y[:, None] + p[:, :, 0, 0], xx[:, None] + p[:, :, 0, 1]] < smooth[y[:, None] + p[:, :, 1, 0], xx[:, None] + p[:, :, 1, 1]]
-            codes = np.packbits(bits, axis=1).view(">u4").astype(np.uint32)
-            found.append((r[y, xx], y / scale, xx / scale, np.full(len(y), 1 / scale), angle, codes))
+            found.append((r[y, xx], y, xx, np.full(len(y), len(smooth))))
+        smooth.append((box(x, 1), scale))
         scale *= SHRINK
     if not found:
-        return np.zeros((0, 4), np.float32), np.zeros((0, 8), np.uint32)
-    strength = np.concatenate([f[0] for f in found])
+        return np.zeros((0, 4), np.float32), np.zeros((0, 4), np.uint64)
+    strength, ys, xs, level = (np.concatenate([f[i] for f in found]) for i in range(4))
     best = np.argsort(-strength, kind="stable")[:corners]
-    return np.stack([np.concatenate([f[i] for f in found]) for i in range(1, 5)], 1)[best].astype(np.float32), np.concatenate([f[5] for f in found])[best]
+    points, codes = np.zeros((len(best), 4), np.float32), np.zeros((len(best), 4), np.uint64)
+    for n, (image_n, scale) in enumerate(smooth):
+        at = np.flatnonzero(level[best] == n)
+        if not len(at):
+            continue
+        y, xx = ys[best[at]], xs[best[at]]
+        patch = image_n[y[:, None] + disc_y, xx[:, None] + disc_x]
+        angle = np.arctan2((patch * disc_y).sum(1), (patch * disc_x).sum(1))
+        p = pattern[np.rint(angle / (2 * np.pi / TURNS)).astype(int) % TURNS]
+        bits = image_n[y[:, None] + p[:, :, 0, 0], xx[:, None] + p[:, :, 0, 1]] < image_n[y[:, None] + p[:, :, 1, 0], xx[:, None] + p[:, :, 1, 1]]
+        codes[at] = np.packbits(bits, axis=1).view("<u8")
+        points[at] = np.stack([y / scale, xx / scale, np.full(len(y), 1 / scale), angle], 1)
+    return points, codes
 
 
 def consensus(ka: np.ndarray, da: np.ndarray, kb: np.ndarray, db: np.ndarray) -> int:
@@ -156,8 +163,8 @@ def features(batches, corners: int):
         rows: list[list] = [[], [], [], []]
         for data in batch.column("image").to_pylist():
             image = from_pgm(data)
-            k, d = describe(image, pattern, corners) if image is not None else (np.zeros((0, 4), np.float32), np.zeros((0, 8), np.uint32))
-            for column, x in zip(rows, (signature(data), len(k), k.tobytes(), d.astype("<u4").tobytes()), strict=True):
+            k, d = describe(image, pattern, corners) if image is not None else (np.zeros((0, 4), np.float32), np.zeros((0, 4), np.uint64))
+            for column, x in zip(rows, (signature(data), len(k), k.tobytes(), d.astype("<u8").tobytes()), strict=True):
                 column.append(x)
         yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.binary())], ["id", "sig", "n", "points", "codes"])
 
@@ -172,8 +179,7 @@ def codes_of(batches):
     for batch in batches:
         ids, out = [], []
         for i, codes in zip(batch.column("id").to_pylist(), batch.column("codes").to_pylist(), strict=True):
-            c = np.frombuffer(codes, "<u4").reshape(-1, 8).astype(np.int64) | (np.arange(8, dtype=np.int64) << 32)
-            c = np.unique(c)
+            c = np.unique(W.mix(np.frombuffer(codes, "<u8").reshape(-1, 4) + np.arange(4, dtype=np.uint64) * np.uint64(W.STEP)).view(np.int64))
             ids.append(np.full(len(c), i))
             out.append(c)
         if ids:
@@ -184,7 +190,7 @@ def agreeing(batches, least: int):
     for batch in batches:
         keep = []
         for ka, da, kb, db in zip(*(batch.column(c).to_pylist() for c in ("ka", "da", "kb", "db")), strict=True):
-            keep.append(consensus(np.frombuffer(ka, np.float32).reshape(-1, 4), np.frombuffer(da, "<u4").reshape(-1, 8), np.frombuffer(kb, np.float32).reshape(-1, 4), np.frombuffer(db, "<u4").reshape(-1, 8)) >= least)
+            keep.append(consensus(np.frombuffer(ka, np.float32).reshape(-1, 4), np.frombuffer(da, "<u8").reshape(-1, 4), np.frombuffer(kb, np.float32).reshape(-1, 4), np.frombuffer(db, "<u8").reshape(-1, 4)) >= least)
         mask = pa.array(keep, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
