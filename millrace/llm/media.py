@@ -1,10 +1,12 @@
 """Media columns: cropped and edited copies by local image descriptors.
 
 Corners (Harris) are found on a pyramid of scales; each gets an orientation from its patch's
-intensity centroid and 256 binary tests, turned by that orientation. A descriptor is cut into four
-64-bit codes: two descriptors within a Hamming distance of 3 share one, so joining on (table, code)
-finds all of them, and codes are long enough that unrelated descriptors hardly ever meet. Two images are copies if a similarity transform (scale, turn, shift) maps at
-least ``consensus`` matched corners of one onto the other.
+intensity centroid and 256 binary tests, turned by that orientation. A descriptor is cut into eight
+32-bit codes: of two descriptors within a Hamming distance of 7, one of the four pairs of codes differs
+in at most one bit, so they share a code whose neighbour in the pair differs in at most one bit; joining
+on (table, code) under that condition finds all of them. Two images are copies if a similarity transform
+(scale, turn, shift) maps at least ``consensus`` matched corners of one onto the other, so only pairs
+with that many corners joined are compared.
 
 Equal images form a class first. Then each code's images are compared with the code's smallest id, and
 after that, exactly, whatever of its images are not yet connected; pairs already connected are
@@ -32,7 +34,7 @@ from millrace.llm import words as W
 from millrace.llm.components import components
 from millrace.llm.scratch import Scratch
 
-SIDE, LEVELS, SHRINK, CORNERS, CONSENSUS, RADIUS, TURNS, DISTANCE = 96, 3, 0.75, 24, 6, 8, 36, 3
+SIDE, LEVELS, SHRINK, CORNERS, CONSENSUS, RADIUS, TURNS, DISTANCE = 96, 3, 0.75, 24, 6, 8, 36, 7
 MARGIN = RADIUS + 3
 
 
@@ -137,7 +139,7 @@ def consensus(ka: np.ndarray, da: np.ndarray, kb: np.ndarray, db: np.ndarray) ->
     """Most matched corners that one similarity transform maps onto each other."""
     if not len(ka) or not len(kb):
         return 0
-    far = np.unpackbits((da[:, None] ^ db[None]).view(np.uint8), axis=2).sum(2)
+    far = np.bitwise_count(da[:, None] ^ db[None]).sum(2)
     i, j = np.nonzero(far <= DISTANCE)
     if not len(i):
         return 0
@@ -176,14 +178,16 @@ def signature(data: bytes | None) -> int | None:
 
 
 def codes_of(batches):
+    """(code, near, id, corner): 32 bits of a descriptor with their table, and the 32 bits beside them."""
     for batch in batches:
-        ids, out = [], []
+        out: list[list[np.ndarray]] = [[], [], [], []]
         for i, codes in zip(batch.column("id").to_pylist(), batch.column("codes").to_pylist(), strict=True):
-            c = np.unique(W.mix(np.frombuffer(codes, "<u8").reshape(-1, 4) + np.arange(4, dtype=np.uint64) * np.uint64(W.STEP)).view(np.int64))
-            ids.append(np.full(len(c), i))
-            out.append(c)
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.concatenate(ids))], ["code", "id"])
+            c = np.frombuffer(codes, "<u4").reshape(-1, 8).astype(np.int64)
+            near, c = c[:, np.arange(8) ^ 1].ravel(), (c | np.arange(8, dtype=np.int64) << 32).ravel()
+            for column, x in zip(out, (c, near.astype(np.uint32).view(np.int32), np.full(len(c), i), np.repeat(np.arange(len(c) // 8, dtype=np.int32), 8)), strict=True):
+                column.append(x)
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["code", "near", "id", "corner"])
 
 
 def agreeing(batches, least: int):
@@ -207,19 +211,22 @@ def copies(images: DataFrame, corners: int = CORNERS, least: int = CONSENSUS) ->
     found = scratch.save(images.select("id", "image").mapInArrow(lambda it: features(it, corners), FEATURES))
     classes = scratch.save(found.where("sig is not null").groupBy("sig").agg(F.min("id").alias("rep")))
     reps = scratch.save(found.join(classes.select(F.col("rep").alias("id"), "sig"), ["id", "sig"]).where("n > 0").dropDuplicates(["id"]))
-    codes = scratch.save(reps.select("id", "codes").mapInArrow(codes_of, "code long, id long"))
+    codes = scratch.save(reps.select("id", "codes").mapInArrow(codes_of, "code long, near int, id long, corner int"))
+    close = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= 1
+    enough = lambda pairs: pairs.groupBy("a", "b").agg(F.countDistinct("corner").alias("k")).where(F.col("k") >= least).select("a", "b")
     # saved, so that the join deals both sides anew and adaptive execution can split a frequent code's images
-    hub = scratch.save(codes.groupBy("code").agg(F.min("id").alias("hub"), F.count("*").alias("k")).where("k > 1").select("code", "hub"))
-    pairs = codes.join(hub, "code").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    first = scratch.save(verified(pairs, reps, least))
+    hub = scratch.save(codes.groupBy("code").agg(F.min(F.struct("id", "near")).alias("hub"), F.max("id").alias("last")).where("last > hub.id").select("code", F.col("hub.id").alias("hub"), F.col("hub.near").alias("hub_near")))
+    pairs = codes.join(hub, "code").where("id <> hub").where(close("near", "hub_near")).select(F.col("hub").alias("a"), F.col("id").alias("b"), "corner")
+    first = scratch.save(verified(scratch.save(enough(pairs)), reps, least))
     roots = components(first, scratch)
     named = codes.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     largest = scratch.save(named.groupBy("code", "root").count().groupBy("code").agg(F.max(F.struct("count", "root")).alias("top"), F.count("*").alias("k")).where("k > 1").select("code", F.col("top.root").alias("top")))
     mixed = scratch.save(named.join(largest, "code"))
-    x = mixed.where("root <> top").select("code", F.col("id").alias("x"), F.col("root").alias("x_root"))
-    y = mixed.select(F.col("code").alias("y_code"), "top", F.col("id").alias("y"), F.col("root").alias("y_root"))
-    rest = x.join(y, (F.col("code") == F.col("y_code")) & (F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("top")) | (F.col("x") < F.col("y"))))
-    second = scratch.save(verified(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), reps, least))
+    x = mixed.where("root <> top").select("code", F.col("near").alias("x_near"), F.col("corner").alias("x_corner"), F.col("id").alias("x"), F.col("root").alias("x_root"))
+    y = mixed.select(F.col("code").alias("y_code"), "top", F.col("near").alias("y_near"), F.col("corner").alias("y_corner"), F.col("id").alias("y"), F.col("root").alias("y_root"))
+    rest = x.join(y, (F.col("code") == F.col("y_code")) & (F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("top")) | (F.col("x") < F.col("y"))) & close("x_near", "y_near"))
+    corner = F.when(F.col("x") < F.col("y"), F.col("x_corner")).otherwise(F.col("y_corner"))
+    second = scratch.save(verified(scratch.save(enough(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), corner.alias("corner")))), reps, least))
     linked = components(first.union(second), scratch)
     rooted = classes.join(linked.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("class_id"))

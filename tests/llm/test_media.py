@@ -26,3 +26,17 @@ def test_many_copies_and_odd_vectors(spark):
     got = {r["vec_id"]: r["class_id"] for r in media.op7(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
     assert all(got[i] == 0 for i in range(60)) and [got[i] for i in (60, 61, 62, 63)] == [60, 61, 62, 63]
     assert media.op7(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_copies_at_a_distance_of_4_to_7(spark):
+    """All that brute force over every pair links is found, and links need corners beyond a distance of 3."""
+    rng = np.random.default_rng(8)
+    plain = media.render(rng.normal(size=(40, 64)))
+    noisy = [np.clip(x + rng.normal(0, 4, x.shape), 0, 255).astype(np.uint8) for x in plain]
+    images, pattern = [*plain, *noisy], media.tests()
+    found = [media.describe(x, pattern) for x in images]
+    linked = {(i, j) for i in range(80) for j in range(i) if media.consensus(*found[j], *found[i]) >= media.CONSENSUS}
+    strict = sum((np.bitwise_count(found[i][1][:, None] ^ found[i + 40][1][None]).sum(2).min(1) <= 3).sum() < media.CONSENSUS for i in range(40) if (i + 40, i) in linked)
+    assert strict >= 5 and len(linked) >= 20
+    got = {r["id"]: r["class_id"] for r in media.copies(spark.createDataFrame([(i, bytearray(media.to_pgm(x))) for i, x in enumerate(images)], "id long, image binary")).collect()}
+    assert {(i, j) for i in range(80) for j in range(i) if got[i] == got[j]} == linked
