@@ -5,8 +5,8 @@ shares of digits and capitals, changes of character class, distinct characters,
 letters that dictionary words cover, whether it looks like a path, and the neighbouring words
 (an assignment, a quote, a secret's usual names, a checksum's or address's usual names). The forest
 is trained from labelled findings (``findings``: match, before, after, label), by default a
-generated set of FINDINGS rows; the dictionary holds the DICTIONARY most frequent words of a
-seeded sample of about DICTIONARY_DOCS texts (documented bounds). Scanning covers all texts.
+generated set of FINDINGS rows (a documented bound); the dictionary holds the DICTIONARY most frequent
+words of all texts, equal counts in the words' order. Scanning covers all texts.
 
 Everything is DataFrame expressions and Spark's own forest; candidates are few, so only they are
 shuffled. Results for odd input: null texts are empty; a null ``doc_id`` is a key like others;
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from millrace.llm.scratch import Scratch
 
 CANDIDATE = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{16,}+"
-CONTEXT, FINDINGS, DICTIONARY, DICTIONARY_DOCS, TREES, DEPTH, SEED = 80, 4000, 5000, 5000, 25, 8, 11
+CONTEXT, FINDINGS, DICTIONARY, TREES, DEPTH, SEED = 80, 4000, 5000, 25, 8, 11
 FEATURES = ["length", "digits", "capitals", "changes", "distinct", "hex", "path", "assigned", "quoted", "secret_word", "other_word", "covered"]
 #: Words that usually stand beside a secret, and beside harmless long strings.
 SECRET_WORDS = ["token", "secret", "password", "passwd", "pwd", "key", "apikey", "api_key", "auth", "bearer", "credential", "private"]
@@ -73,10 +73,8 @@ def with_features(found: DataFrame, dictionary: DataFrame, scratch: Scratch) ->
 
 
 def learned_words(docs: DataFrame) -> DataFrame:
-    """The dictionary: the most frequent letters-only words of a seeded sample of texts."""
-    n = max(docs.count(), 1)
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
-    words = docs.where(draw < DICTIONARY_DOCS / n).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("(?<![a-z])[a-z]{3,}+(?![a-z])"), F.lit(0))).alias("word"))
+    """The dictionary: the most frequent letters-only words of all texts."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("(?<![a-z])[a-z]{3,}+(?![a-z])"), F.lit(0))).alias("word"))
     return words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(DICTIONARY).select("word")
 
 

@@ -111,6 +111,14 @@ def test_secrets(spark, documents, odd, none):
     assert secret_scan.op4(odd).count() == odd.count() and secret_scan.op4(none).count() == 0
 
 
+def test_dictionary_counts_all_texts(spark):
+    word = F.translate((F.col("id") % 6000).cast("string"), "0123456789", "abcdefghij")
+    docs = spark.range(12_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("Common xy"), word, F.when(F.col("id") % 6000 < 3000, F.concat(F.lit(" xy"), word)).otherwise(F.lit(""))).alias("text"))
+    counts = Counter(w for r in docs.collect() for w in r["text"].lower().split())
+    want = sorted(counts, key=lambda w: (-counts[w], w))[: secret_scan.DICTIONARY]
+    assert sorted(r["word"] for r in secret_scan.learned_words(docs).collect()) == sorted(want)
+
+
 # 5
 
 
