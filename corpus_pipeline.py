@@ -16,8 +16,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which no language can be told: null texts and texts without a letter."""
-    return langid.predict(docs, langid.fit(docs)).where("lang_pred <> 'und'").select(*docs.columns)
+    """Drops documents in which no language can be told: null texts and texts without a letter. Where no text has a label, the others stay."""
+    return langid.predict(docs, langid.fit(docs)).where("lang_pred is null or lang_pred <> 'und'").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,8 +9,8 @@ Prototypes are fitted on labelled texts: all of them, or for a language with mor
 ``train_rows`` a seeded sample of about that many (the documented bound). Sums are integers, so the
 order of tasks does not matter. The number of languages is taken to be small (they are labels).
 
-Results for odd input: null texts and texts without a letter get ``und`` and score 0, and so does
-everything when no labelled text has a letter; rows with null ``lang`` are not learned from; ties
+Results for odd input: null texts and texts without a letter get ``und`` and score 0,
+texts with a letter a null and score 0 when no labelled text has one; rows with null ``lang`` are not learned from; ties
 go to the first language by code point; other columns pass through.
 """
 
@@ -126,7 +126,7 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, key: str = "doc_id")
 
 
 def predict(df: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """``df`` (with ``text``) plus lang_pred and score, the cosine clipped to 0..1."""
+    """``df`` (with ``text``) plus lang_pred and score, the cosine clipped to 0..1; of an empty model, texts with a letter get a null and 0."""
     langs, proto = model
     df = df.drop("lang_pred", "score")
     names = df.columns
@@ -140,8 +140,8 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
                 pred = [langs[b] if h else "und" for b, h in zip(best.tolist(), has.tolist(), strict=True)]
                 score = np.where(has, np.clip(cos.max(1), 0, 1), 0.0)
             else:
-                pred, score = ["und"] * len(v), np.zeros(len(v))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
+                pred, score = [None if h else "und" for h in has.tolist()], np.zeros(len(v))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
 
     return df.mapInArrow(scored, T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 

@@ -4,6 +4,7 @@ from collections import Counter
 
 import brute
 import corpus_pipeline as pipeline
+from pyspark.sql import functions as F
 
 from millrace.llm import queries
 from millrace.llm.scratch import Scratch
@@ -40,6 +41,12 @@ def test_stages(spark, documents):
     assert max(places.values()) == 1 and len({r["shard"] for r in b}) == 40
 
 
+def test_language_stage_without_labels(spark, odd):
+    rows = odd.select("doc_id", "text", F.lit(None).cast("string").alias("lang"), "source", "n_chars")
+    kept = pipeline.language_id(spark, rows, SF).collect()
+    assert Counter(kept) == Counter(r for r in rows.collect() if any(c.isalpha() for c in r["text"] or ""))
+
+
 def test_near_duplicates_of_odd_rows(spark, odd):
     rows = odd.select("doc_id", "text", "lang", "source", "n_chars")
     kept = pipeline.near_duplicates(spark, rows, SF).collect()
