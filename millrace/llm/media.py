@@ -1,28 +1,31 @@
 """Media columns: cropped and edited copies by local image descriptors.
 
-Corners (Harris) are found on a pyramid of scales; each gets an orientation from its patch's
-intensity centroid and 256 binary tests, turned by that orientation. A descriptor is cut into eight
-32-bit codes: of two descriptors within a Hamming distance of 7, one of the four pairs of codes differs
-in at most one bit, so they share a code whose neighbour in the pair differs in at most one bit; joining
-on (table, code) under that condition finds all of them. Two images are copies if a similarity transform
-(scale, turn, shift) maps at least ``consensus`` matched corners of one onto the other, so only pairs
-with that many corners joined are compared.
-
-Equal images form a class first. Then each code's images are compared with the code's smallest id, and
-after that, exactly, whatever of its images are not yet connected; pairs already connected are
-skipped, so a group of copies costs its size, not its square. ``corners`` strongest corners describe
-an image (a parameter of the descriptor, not of the search).
+Corners (Harris) are found on a pyramid of scales, a sixth of an octave apart: every local maximum
+above a threshold, so their number grows with the area. Each is placed to a fraction of a pixel and
+gets an orientation from the intensity centroid of its patch; 256 binary tests between points of
+concentric rings, turned by that orientation, are its descriptor. Five 44-bit codes are cut from a
+descriptor. Corners of a copy keep some of their codes; images that share two codes or more (and one for
+each 200 corners of the smaller image) are compared: each corner of the image with fewer corners
+matches its nearest descriptor within a Hamming distance of 48, and two images are copies if one
+similarity transform (scale, turn, shift) maps at least ``least`` matched corners, and a fiftieth of all matches, onto each other.
+
+Codes travel in packed postings. A code's images are compared with its smallest id first; after that,
+exactly, all that share two codes and are not yet connected, each pair once. A group of copies so
+costs its size, not its square; what stays quadratic are images that share codes and are no copies.
+Images of equal bytes are a class whose smallest id stands for it. Features are computed again for
+the images of compared pairs only, so no descriptors are stored.
 
 The tables here hold no images: ``render`` draws an embedding as a texture, so equal and close
 vectors give equal and edited images. Other media columns come as PGM bytes.
 
 Results for odd input: null or undecodable images, and those without corners, are copies of nothing
-unless equal bytes; repeated rows share a class; null ids get their class's smallest id; an empty
-table gives an empty result; other columns do not matter.
+unless equal bytes; repeated rows share a class; of rows that repeat an id with other images each has its own
+class; null ids get their class's smallest id; an empty table gives an empty result; other columns do not matter.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -30,12 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm import postings as P
 from millrace.llm import words as W
 from millrace.llm.components import components
 from millrace.llm.scratch import Scratch
 
-SIDE, LEVELS, SHRINK, CORNERS, CONSENSUS, RADIUS, TURNS, DISTANCE = 96, 3, 0.75, 24, 6, 8, 36, 7
-MARGIN = RADIUS + 3
+SIDE, LEVELS, SHRINK, RADIUS, CONSENSUS, DISTANCE = 96, 9, 2 ** (-1 / 6), 10, 5, 48
+MARGIN, STRENGTH, TABLES, CODE, SHARED, CORNERS_A_CODE, BLOCK = RADIUS + 2, 10.0, 5, 44, 2, 200, 512
+#: Points on each of the rings, from the inner one.
+RINGS = (6, 10, 14, 16, 18)
 
 
 def render(vectors: np.ndarray) -> np.ndarray:
@@ -63,176 +69,368 @@ def from_pgm(data: bytes | None) -> np.ndarray | None:
     return np.frombuffer(body, np.uint8).reshape(h, w) if len(body) == w * h and w * h else None
 
 
-def box(x: np.ndarray, r: int) -> np.ndarray:
-    """Sums over (2r+1) squares, zero outside."""
-    p = np.pad(x, ((r + 1, r), (r + 1, r))).cumsum(0).cumsum(1)
-    k = 2 * r + 1
-    return p[k:, k:] - p[:-k, k:] - p[k:, :-k] + p[:-k, :-k]
+def gaussian(sigma: float) -> np.ndarray:
+    r = int(np.ceil(2.5 * sigma))
+    g = np.exp(-(np.arange(-r, r + 1) ** 2) / (2 * sigma * sigma))
+    return (g / g.sum()).astype(np.float32)
+
+
+def blurred(x: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """Images (n, h, w) smoothed along both axes, edges repeated."""
+    r = len(kernel) // 2
+    for axis in (1, 2):
+        wide = np.pad(x, [(r, r) if a == axis else (0, 0) for a in range(3)], mode="edge")
+        n = x.shape[axis]
+        x = sum(np.take(wide, np.arange(i, i + n), axis) * c if axis == 1 else wide[:, :, i : i + n] * c for i, c in enumerate(kernel))
+    return x
 
 
 def resized(x: np.ndarray, h: int, w: int) -> np.ndarray:
     """Bilinear."""
-    ys, xs = (np.arange(h) + 0.5) * x.shape[0] / h - 0.5, (np.arange(w) + 0.5) * x.shape[1] / w - 0.5
-    y0, x0 = np.clip(np.floor(ys).astype(int), 0, x.shape[0] - 2), np.clip(np.floor(xs).astype(int), 0, x.shape[1] - 2)
-    fy, fx = np.clip(ys - y0, 0, 1)[:, None], np.clip(xs - x0, 0, 1)[None]
-    a, b, c, d = x[np.ix_(y0, x0)], x[np.ix_(y0, x0 + 1)], x[np.ix_(y0 + 1, x0)], x[np.ix_(y0 + 1, x0 + 1)]
-    return (a * (1 - fx) + b * fx) * (1 - fy) + (c * (1 - fx) + d * fx) * fy
-
-
-def tests() -> np.ndarray:
-    """Offsets (TURNS, 256, 2, 2) of the binary tests, turned."""
-    u = (W.mix(np.arange(1024, dtype=np.uint64) + np.uint64(77)) >> np.uint64(11)).astype(float) / 2**53
-    r, a = RADIUS * np.sqrt(u[:512]), 2 * np.pi * u[512:]
-    p = np.stack([r * np.sin(a), r * np.cos(a)], -1).reshape(256, 2, 2)
-    t = 2 * np.pi * np.arange(TURNS) / TURNS
-    turn = np.stack([np.stack([np.cos(t), np.sin(t)], -1), np.stack([-np.sin(t), np.cos(t)], -1)], -2)  # (y, x) pairs
-    return np.rint(np.einsum("tij,pqj->tpqi", turn, p)).astype(int)
-
-
-def describe(image: np.ndarray, pattern: np.ndarray, corners: int = CORNERS) -> tuple[np.ndarray, np.ndarray]:
-    """Corners (y, x, scale, angle) in pixels of the image, and their descriptors (n, 4) of 64-bit codes."""
-    found: list[tuple[np.ndarray, ...]] = []
-    smooth: list[tuple[np.ndarray, float]] = []
-    disc_y, disc_x = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
-    disc = disc_y**2 + disc_x**2 <= RADIUS**2
-    disc_y, disc_x = disc_y[disc], disc_x[disc]
-    base, scale = image.astype(np.float64), 1.0
-    for _ in range(LEVELS):
-        h, w = int(round(image.shape[0] * scale)), int(round(image.shape[1] * scale))
-        if min(h, w) <= 2 * MARGIN + 2:
+    ys, xs = (np.arange(h) + 0.5) * x.shape[1] / h - 0.5, (np.arange(w) + 0.5) * x.shape[2] / w - 0.5
+    y0, x0 = np.clip(np.floor(ys).astype(int), 0, x.shape[1] - 2), np.clip(np.floor(xs).astype(int), 0, x.shape[2] - 2)
+    fy, fx = np.clip(ys - y0, 0, 1).astype(np.float32)[:, None], np.clip(xs - x0, 0, 1).astype(np.float32)
+    rows = x[:, y0] * (1 - fy) + x[:, y0 + 1] * fy
+    return rows[:, :, x0] * (1 - fx) + rows[:, :, x0 + 1] * fx
+
+
+def sampled(x: np.ndarray, n: np.ndarray, y: np.ndarray, xx: np.ndarray) -> np.ndarray:
+    """Bilinear values of images ``n`` at (y, xx), rows of points."""
+    y0, x0 = np.floor(y).astype(np.int64), np.floor(xx).astype(np.int64)
+    fy, fx, w, flat = y - y0, xx - x0, x.shape[2], x.reshape(-1)
+    at = (n[:, None] * x.shape[1] + y0) * w + x0
+    return (flat[at] * (1 - fx) + flat[at + 1] * fx) * (1 - fy) + (flat[at + w] * (1 - fx) + flat[at + w + 1] * fx) * fy
+
+
+def tests() -> tuple[np.ndarray, np.ndarray]:
+    """The rings' points (y, x), and the 256 pairs of points that are compared: at least a third of the radius apart."""
+    n = np.array(RINGS)
+    ring = np.repeat(np.arange(len(n)), n)
+    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    r, a = RADIUS * (ring + 1) / len(n), 2 * np.pi * (k + 0.5 * (ring % 2)) / n[ring]
+    points = np.stack([r * np.sin(a), r * np.cos(a)], 1)
+    first, second = np.triu_indices(len(points), 1)
+    far = np.hypot(*(points[first] - points[second]).T) > RADIUS / 3
+    pairs = np.stack([first[far], second[far]], 1)
+    order = np.argsort(W.mix(np.arange(len(pairs), dtype=np.uint64) + np.uint64(77)))[:256]
+    return points.astype(np.float32), pairs[order]
+
+
+def peaks(strength: np.ndarray) -> np.ndarray:
+    """Maxima of their 5 x 5 neighbourhood, above the threshold and inside the margin."""
+    top = strength
+    for axis in (1, 2):
+        before, top = top, top.copy()
+        for d in (1, 2):
+            low, high = [slice(None)] * 3, [slice(None)] * 3
+            low[axis], high[axis] = slice(None, -d), slice(d, None)
+            top[tuple(high)] = np.maximum(top[tuple(high)], before[tuple(low)])
+            top[tuple(low)] = np.maximum(top[tuple(low)], before[tuple(high)])
+    ok = (strength >= top) & (strength > STRENGTH)
+    ok[:, :MARGIN] = ok[:, -MARGIN:] = False
+    ok[:, :, :MARGIN] = ok[:, :, -MARGIN:] = False
+    return ok
+
+
+def beside(low: np.ndarray, mid: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Where the parabola through three values has its top, -0.5 to 0.5."""
+    bend = low - 2 * mid + high
+    return np.clip(np.where(bend < -1e-9, (low - high) / (2 * np.minimum(bend, -1e-9)), 0), -0.5, 0.5)
+
+
+def describe(images: np.ndarray, pattern: tuple[np.ndarray, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each of ``images`` (n, h, w): corners (y, x, scale, angle) in its pixels, and descriptors (corners, 4) of 64 bits."""
+    points, pairs = pattern
+    height, width = images.shape[1:]
+    at, corners, codes = [np.zeros(0, np.int64)], [np.zeros((0, 4), np.float32)], [np.zeros((0, 4), np.uint64)]
+    x, step, window = images.astype(np.float32), np.array([0.25, 0.5, 0.25], np.float32), gaussian(1.5)
+    for level in range(LEVELS):
+        h, w = round(height * SHRINK**level), round(width * SHRINK**level)
+        if min(h, w) < 2 * MARGIN + 3:
             break
-        x = base if scale == 1 else resized(base, h, w)
-        gy, gx = np.gradient(x)
-        a, b, c = box(gy * gy, 2), box(gx * gx, 2), box(gy * gx, 2)
-        r = a * b - c * c - 0.04 * (a + b) ** 2
-        peak = r.copy()
-        for dy in (-1, 0, 1):
-            for dx in (-1, 0, 1):
-                peak = np.maximum(peak, np.roll(r, (dy, dx), (0, 1)))
-        ok = (r >= peak) & (r > 1e-6)
-        ok[:MARGIN], ok[-MARGIN:], ok[:, :MARGIN], ok[:, -MARGIN:] = False, False, False, False
-        y, xx = np.nonzero(ok)
-        if len(y):
-            found.append((r[y, xx], y, xx, np.full(len(y), len(smooth))))
-        smooth.append((box(x, 1), scale))
-        scale *= SHRINK
-    if not found:
-        return np.zeros((0, 4), np.float32), np.zeros((0, 4), np.uint64)
-    strength, ys, xs, level = (np.concatenate([f[i] for f in found]) for i in range(4))
-    best = np.argsort(-strength, kind="stable")[:corners]
-    points, codes = np.zeros((len(best), 4), np.float32), np.zeros((len(best), 4), np.uint64)
-    for n, (image_n, scale) in enumerate(smooth):
-        at = np.flatnonzero(level[best] == n)
-        if not len(at):
-            continue
-        y, xx = ys[best[at]], xs[best[at]]
-        patch = image_n[y[:, None] + disc_y, xx[:, None] + disc_x]
-        angle = np.arctan2((patch * disc_y).sum(1), (patch * disc_x).sum(1))
-        p = pattern[np.rint(angle / (2 * np.pi / TURNS)).astype(int) % TURNS]
-        bits = image_n[y[:, None] + p[:, :, 0, 0], xx[:, None] + p[:, :, 0, 1]] < image_n[y[:, None] + p[:, :, 1, 0], xx[:, None] + p[:, :, 1, 1]]
-        codes[at] = np.packbits(bits, axis=1).view("<u8")
-        points[at] = np.stack([y / scale, xx / scale, np.full(len(y), 1 / scale), angle], 1)
-    return points, codes
-
-
-def consensus(ka: np.ndarray, da: np.ndarray, kb: np.ndarray, db: np.ndarray) -> int:
-    """Most matched corners that one similarity transform maps onto each other."""
+        x = resized(blurred(x, step), h, w) if level else blurred(x, gaussian(1.3))
+        gy, gx = np.zeros_like(x), np.zeros_like(x)
+        gy[:, 1:-1], gx[:, :, 1:-1] = (x[:, 2:] - x[:, :-2]) / 2, (x[:, :, 2:] - x[:, :, :-2]) / 2
+        a, b, c = blurred(gy * gy, window), blurred(gx * gx, window), blurred(gy * gx, window)
+        strength = a * b - c * c - 0.04 * (a + b) ** 2
+        n, iy, ix = np.nonzero(peaks(strength))
+        mid = strength[n, iy, ix]
+        y = (iy + beside(strength[n, iy - 1, ix], mid, strength[n, iy + 1, ix])).astype(np.float32)
+        xx = (ix + beside(strength[n, iy, ix - 1], mid, strength[n, iy, ix + 1])).astype(np.float32)
+        angle = np.zeros(len(n), np.float32)
+        for _ in range(3):  # the centroid of the turned rings tells what is left to turn; the last look is the descriptor's
+            cos, sin = np.cos(angle)[:, None], np.sin(angle)[:, None]
+            value = sampled(x, n, y[:, None] + cos * points[:, 0] + sin * points[:, 1], xx[:, None] - sin * points[:, 0] + cos * points[:, 1])
+            if _ < 2:
+                angle = angle + np.arctan2((value * points[:, 0]).sum(1), (value * points[:, 1]).sum(1))
+        bits = np.packbits(value[:, pairs[:, 0]] < value[:, pairs[:, 1]], axis=1)
+        at.append(n)
+        codes.append(np.ascontiguousarray(bits).view("<u8"))
+        fy, fx = height / h, width / w
+        corners.append(np.stack([(y + 0.5) * fy - 0.5, (xx + 0.5) * fx - 0.5, np.full(len(n), (fy * fx) ** 0.5), angle], 1).astype(np.float32))
+    row = np.concatenate(at)
+    order = np.argsort(row, kind="stable")
+    corner, code, edge = np.concatenate(corners)[order], np.concatenate(codes)[order], np.searchsorted(row[order], np.arange(len(images) + 1))
+    return [(corner[i:j], code[i:j]) for i, j in zip(edge[:-1], edge[1:], strict=True)]
+
+
+def described(data: list[bytes | None], pattern: tuple[np.ndarray, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``describe`` for PGM bytes, images of one shape at a time."""
+    out = [(np.zeros((0, 4), np.float32), np.zeros((0, 4), np.uint64))] * len(data)
+    by_shape: dict[tuple[int, ...], list[tuple[int, np.ndarray]]] = {}
+    for i, d in enumerate(data):
+        image = from_pgm(d)
+        if image is not None:
+            by_shape.setdefault(image.shape, []).append((i, image))
+    for shape, some in by_shape.items():
+        size = max(1, (1 << 18) // (shape[0] * shape[1]))
+        for lo in range(0, len(some), size):
+            part = some[lo : lo + size]
+            for (i, _), found in zip(part, describe(np.stack([x for _, x in part]), pattern), strict=True):
+                out[i] = found
+    return out
+
+
+def matches(da: np.ndarray, db: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each corner's nearest descriptor in the other image, if within the distance; bounded memory."""
+    best, place = np.full(len(da), DISTANCE + 1, np.int16), np.zeros(len(da), np.int64)
+    for lo in range(0, len(da), BLOCK):
+        for at in range(0, len(db), 8 * BLOCK):
+            far = sum(np.bitwise_count(da[lo : lo + BLOCK, None, w] ^ db[None, at : at + 8 * BLOCK, w]).astype(np.int16) for w in range(4))
+            near = far.argmin(1)
+            d = far[np.arange(len(far)), near]
+            closer = np.flatnonzero(d < best[lo : lo + BLOCK])
+            best[lo + closer], place[lo + closer] = d[closer], near[closer] + at
+    i = np.flatnonzero(best <= DISTANCE)
+    return i, place[i]
+
+
+def consensus(ka: np.ndarray, da: np.ndarray, kb: np.ndarray, db: np.ndarray, enough: int | None = None) -> int:
+    """Most matched corners (of either image) that one similarity transform maps onto each other; with ``enough``, 0 or
+    as many as it takes to tell copies."""
     if not len(ka) or not len(kb):
         return 0
-    far = np.bitwise_count(da[:, None] ^ db[None]).sum(2)
-    i, j = np.nonzero(far <= DISTANCE)
-    if not len(i):
-        return 0
+    if len(kb) < len(ka):
+        ka, da, kb, db = kb, db, ka, da
+    i, j = matches(da, db)
+    enough = max(enough, len(i) // 50) if enough else None
     a, b = ka[i].astype(float), kb[j].astype(float)
-    scale, turn = b[:, 2] / a[:, 2], b[:, 3] - a[:, 3]
+    scale, turn = b[:, 2] / a[:, 2], (b[:, 3] - a[:, 3]) % (2 * np.pi)
     cos, sin = scale * np.cos(turn), scale * np.sin(turn)
-    # each match proposes a transform; the others vote by where it sends their corner
-    ty = b[:, 0] - (cos * a[:, 0] + sin * a[:, 1])
-    tx = b[:, 1] - (-sin * a[:, 0] + cos * a[:, 1])
-    py = cos[:, None] * a[None, :, 0] + sin[:, None] * a[None, :, 1] + ty[:, None]
-    px = -sin[:, None] * a[None, :, 0] + cos[:, None] * a[None, :, 1] + tx[:, None]
-    agree = (np.hypot(py - b[None, :, 0], px - b[None, :, 1]) <= 3.0 * np.maximum(1, b[None, :, 2])) & (np.abs(np.log(scale[:, None] / scale[None])) < 0.2)
-    return max(len(np.unique(i[row])) for row in agree)
+    ty, tx = b[:, 0] - (cos * a[:, 0] + sin * a[:, 1]), b[:, 1] - (-sin * a[:, 0] + cos * a[:, 1])
+    best, bins = 0, np.floor(turn / (np.pi / 8)).astype(int) % 16
+    for t in np.unique(bins):  # each match proposes a transform; those of about its turn vote by where it sends their corner
+        voter = np.flatnonzero(np.isin(bins, [(t - 1) % 16, t, (t + 1) % 16]))
+        if len(voter) <= best:
+            continue
+        mine, v, w = np.flatnonzero(bins == t), a[voter], b[voter]
+        for lo in range(0, len(mine), BLOCK):
+            m = mine[lo : lo + BLOCK, None]
+            off = np.hypot(cos[m] * v[:, 0] + sin[m] * v[:, 1] + ty[m] - w[:, 0], -sin[m] * v[:, 0] + cos[m] * v[:, 1] + tx[m] - w[:, 1])
+            agree = (off <= 3.0 * np.maximum(1, w[:, 2])) & (np.abs(np.log(scale[m] / scale[voter])) < 0.2)
+            for row in agree[agree.sum(1) > best]:
+                best = max(best, min(len(np.unique(i[voter[row]])), len(np.unique(j[voter[row]]))))
+                if enough and best >= enough:
+                    return best
+    return 0 if enough else best
 
 
-FEATURES = "id long, sig long, n int, points binary, codes binary"
+def codes_of(descriptors: np.ndarray) -> np.ndarray:
+    """48 bits of a hash of each code with its table, distinct."""
+    bits = np.unpackbits(np.ascontiguousarray(descriptors).view(np.uint8).reshape(-1, 32), axis=1)[:, : TABLES * CODE].reshape(-1, CODE)
+    raw = np.zeros((len(bits), 8), np.uint8)
+    raw[:, : -(-CODE // 8)] = np.packbits(bits, axis=1)
+    return np.unique(W.mix(raw.view("<u8").reshape(-1, TABLES) + np.arange(1, TABLES + 1, dtype=np.uint64) * np.uint64(W.STEP)) & P.LOW48)
 
 
-def features(batches, corners: int):
-    """From (id, image: PGM bytes)."""
-    pattern = tests()
-    for batch in batches:
-        rows: list[list] = [[], [], [], []]
-        for data in batch.column("image").to_pylist():
-            image = from_pgm(data)
-            k, d = describe(image, pattern, corners) if image is not None else (np.zeros((0, 4), np.float32), np.zeros((0, 4), np.uint64))
-            for column, x in zip(rows, (signature(data), len(k), k.tobytes(), d.astype("<u8").tobytes()), strict=True):
-                column.append(x)
-        yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.binary())], ["id", "sig", "n", "points", "codes"])
+FEATURES = "id long, sig long, n int, codes binary"
+CORNERS = "id long, points binary, descriptors binary"
 
 
 def signature(data: bytes | None) -> int | None:
-    import hashlib
-
     return None if not data else int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
-def codes_of(batches):
-    """(code, near, id, corner): 32 bits of a descriptor with their table, and the 32 bits beside them."""
+def features(batches):
+    """From (id, image: PGM bytes)."""
+    pattern = tests()
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 64):
+            part = batch.slice(lo, 64)
+            data = part.column("image").to_pylist()
+            found = described(data, pattern)
+            codes = [W.pack6(codes_of(d)) for _, d in found]
+            yield pa.RecordBatch.from_arrays([part.column("id").cast(pa.int64()), pa.array([signature(d) for d in data], pa.int64()), pa.array([len(k) for k, _ in found], pa.int32()), pa.array(codes, pa.binary())], ["id", "sig", "n", "codes"])
+
+
+def post(batches, parts: int):
+    """(id, code) postings, dealt by code; images of equal bytes of a batch once."""
+    for batch in batches:
+        ids, code, seen = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], set()
+        for i, sig, codes in zip(*(batch.column(c).to_pylist() for c in ("id", "sig", "codes")), strict=True):
+            if codes and sig not in seen:
+                seen.add(sig)
+                code.append(W.unpack6(codes))
+                ids.append(np.full(len(code[-1]), i))
+        i, c = np.concatenate(ids), np.concatenate(code)
+        yield from P.rows(0, P.pack(P.parts_of(W.mix(c), parts), i, c))
+
+
+def id_parts(ids: np.ndarray, parts: int) -> np.ndarray:
+    return P.parts_of(W.mix(ids.view(np.uint64) + np.uint64(W.STEP)), parts)
+
+
+def packed_pairs(a: np.ndarray, b: np.ndarray, parts: int):
+    """kind 1: how many codes each pair (a < b) shares here, dealt by pair."""
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    pair, k = np.unique(np.stack([a, b], 1), axis=0, return_counts=True) if len(a) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
+    part = P.parts_of(W.mix(W.mix(pair[:, 0].view(np.uint64) + np.uint64(W.STEP)) ^ pair[:, 1].view(np.uint64)), parts) if len(pair) else np.zeros(0, np.int32)
+    return P.records(1, part, np.column_stack([pair, k]))
+
+
+def grouped(batches) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, codes and where each code starts, sorted by (code, id) and distinct, of codes of two images or more."""
+    ids, code = P.unpack(P.gather(batches).pop(0, []))
+    order = np.lexsort((ids, code))
+    ids, code = ids[order], code[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (code[1:] != code[:-1])
+    ids, code = ids[new], code[new]
+    first = np.ones(len(ids), bool)
+    first[1:] = code[1:] != code[:-1]
+    start = np.flatnonzero(first)
+    many = np.repeat(np.diff(np.append(start, len(ids))) > 1, np.diff(np.append(start, len(ids))))
+    return ids[many], code[many], first[many]
+
+
+def meet(batches, parts: int):
+    """kind 1: pairs of each code's smallest id with its other ids; kind 0: shared codes, dealt by id."""
+    ids, code, first = grouped(batches)
+    if len(ids):
+        hub = ids[first][np.cumsum(first) - 1]
+        yield from packed_pairs(hub[~first], ids[~first], parts)
+        yield from P.rows(0, P.pack(id_parts(ids, parts), ids, code))
+
+
+def tally(batches, least: int):
+    """Pairs that share at least so many codes."""
+    rows = P.unrecord(P.gather(batches).pop(1, []), 3)
+    if len(rows):
+        pair, at = np.unique(rows[:, :2], axis=0, return_inverse=True)
+        k = np.bincount(at.ravel(), rows[:, 2]).astype(np.int64)
+        keep = k >= least
+        yield pa.RecordBatch.from_arrays([pa.array(pair[keep, 0]), pa.array(pair[keep, 1]), pa.array(k[keep])], ["a", "b", "k"])
+
+
+def gathered(batches):
+    """Each image's shared codes."""
+    ids, code = P.unpack(P.gather(batches).pop(0, []))
+    order = np.argsort(ids, kind="stable")
+    ids, code = ids[order], code[order]
+    known, at = np.unique(ids, return_index=True)
+    edge = [*at.tolist(), len(ids)]
+    for lo in range(0, len(known), 256):
+        codes = [code[a:b].tobytes() for a, b in zip(edge[lo : lo + 256], edge[lo + 1 : lo + 257], strict=False)]
+        yield pa.RecordBatch.from_arrays([pa.array(known[lo : lo + 256]), pa.array(codes, pa.binary())], ["id", "codes"])
+
+
+def post_rooted(batches, parts: int):
+    """kind 2: (code, id, root) records, dealt by code."""
+    for batch in batches:
+        rows = [np.zeros((0, 3), np.int64)]
+        for i, root, codes in zip(*(batch.column(c).to_pylist() for c in ("id", "root", "codes")), strict=True):
+            c = np.frombuffer(codes, "<i8")
+            rows.append(np.column_stack([c, np.full(len(c), i), np.full(len(c), root)]))
+        out = np.concatenate(rows)
+        yield from P.records(2, P.parts_of(W.mix(out[:, 0].view(np.uint64)), parts), out)
+
+
+def cross(batches, parts: int):
+    """Pairs of images that share a code and are not connected: those outside the code's largest component meet the others."""
+    rows = P.unrecord(P.gather(batches).pop(2, []), 3)
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 2], rows[:, 0]))]
+    edge = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0], [True]])) if len(rows) else np.zeros(1, np.int64)
+    a, b, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        ids, root = rows[lo:hi, 1], rows[lo:hi, 2]
+        if root[0] == root[-1]:
+            continue
+        known, n = np.unique(root, return_counts=True)
+        top = known[n.argmax()]
+        for i in np.flatnonzero(root != top).tolist():
+            other = ids[(root != root[i]) & ((root == top) | (ids > ids[i]))]
+            a.append(np.full(len(other), ids[i]))
+            b.append(other)
+            size += len(other)
+            if size > 1 << 20:
+                yield from packed_pairs(np.concatenate(a), np.concatenate(b), parts)
+                a, b, size = [], [], 0
+    if size:
+        yield from packed_pairs(np.concatenate(a), np.concatenate(b), parts)
+
+
+def cornered(batches):
+    """(id, points, descriptors) from (id, image)."""
+    pattern = tests()
     for batch in batches:
-        out: list[list[np.ndarray]] = [[], [], [], []]
-        for i, codes in zip(batch.column("id").to_pylist(), batch.column("codes").to_pylist(), strict=True):
-            c = np.frombuffer(codes, "<u4").reshape(-1, 8).astype(np.int64)
-            near, c = c[:, np.arange(8) ^ 1].ravel(), (c | np.arange(8, dtype=np.int64) << 32).ravel()
-            for column, x in zip(out, (c, near.astype(np.uint32).view(np.int32), np.full(len(c), i), np.repeat(np.arange(len(c) // 8, dtype=np.int32), 8)), strict=True):
-                column.append(x)
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["code", "near", "id", "corner"])
+        for lo in range(0, batch.num_rows, 64):
+            part = batch.slice(lo, 64)
+            found = described(part.column("image").to_pylist(), pattern)
+            yield pa.RecordBatch.from_arrays([part.column("id").cast(pa.int64()), pa.array([k.tobytes() for k, _ in found], pa.binary()), pa.array([d.tobytes() for _, d in found], pa.binary())], ["id", "points", "descriptors"])
 
 
 def agreeing(batches, least: int):
     for batch in batches:
         keep = []
         for ka, da, kb, db in zip(*(batch.column(c).to_pylist() for c in ("ka", "da", "kb", "db")), strict=True):
-            keep.append(consensus(np.frombuffer(ka, np.float32).reshape(-1, 4), np.frombuffer(da, "<u8").reshape(-1, 4), np.frombuffer(kb, np.float32).reshape(-1, 4), np.frombuffer(db, "<u8").reshape(-1, 4)) >= least)
+            keep.append(consensus(np.frombuffer(ka, np.float32).reshape(-1, 4), np.frombuffer(da, "<u8").reshape(-1, 4), np.frombuffer(kb, np.float32).reshape(-1, 4), np.frombuffer(db, "<u8").reshape(-1, 4), least) > 0)
         mask = pa.array(keep, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
 
-def verified(pairs: DataFrame, found: DataFrame, least: int) -> DataFrame:
-    one = found.select(F.col("id").alias("a"), F.col("points").alias("ka"), F.col("codes").alias("da"))
-    two = found.select(F.col("id").alias("b"), F.col("points").alias("kb"), F.col("codes").alias("db"))
-    return pairs.join(one, "a").join(two, "b").mapInArrow(lambda it: agreeing(it, least), "a long, b long")
+def verified(pairs: DataFrame, images: DataFrame, least: int, scratch: Scratch) -> DataFrame:
+    """``pairs`` (a, b) of images that are copies; features are made once for each image in a pair."""
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    found = scratch.save(images.join(wanted, "id", "left_semi").select("id", "image").mapInArrow(cornered, CORNERS).dropDuplicates(["id"]))
+    one = found.select(F.col("id").alias("a"), F.col("points").alias("ka"), F.col("descriptors").alias("da"))
+    two = found.select(F.col("id").alias("b"), F.col("points").alias("kb"), F.col("descriptors").alias("db"))
+    out = scratch.save(pairs.join(one, "a").join(two, "b").select("a", "b", "ka", "da", "kb", "db").mapInArrow(lambda it: agreeing(it, least), "a long, b long"))
+    scratch.drop(found)
+    return out
 
 
-def copies(images: DataFrame, corners: int = CORNERS, least: int = CONSENSUS) -> DataFrame:
+def copies(images: DataFrame, least: int = CONSENSUS, shared: int = SHARED) -> DataFrame:
     """(id, class_id, n_corners) for each row of ``images`` (id, image)."""
-    scratch = Scratch(images.sparkSession, "media")
-    found = scratch.save(images.select("id", "image").mapInArrow(lambda it: features(it, corners), FEATURES))
-    classes = scratch.save(found.where("sig is not null").groupBy("sig").agg(F.min("id").alias("rep")))
-    reps = scratch.save(found.join(classes.select(F.col("rep").alias("id"), "sig"), ["id", "sig"]).where("n > 0").dropDuplicates(["id"]))
-    codes = scratch.save(reps.select("id", "codes").mapInArrow(codes_of, "code long, near int, id long, corner int"))
-    close = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= 1
-    enough = lambda pairs: pairs.groupBy("a", "b").agg(F.countDistinct("corner").alias("k")).where(F.col("k") >= least).select("a", "b")
-    # saved, so that the join deals both sides anew and adaptive execution can split a frequent code's images
-    hub = scratch.save(codes.groupBy("code").agg(F.min(F.struct("id", "near")).alias("hub"), F.max("id").alias("last")).where("last > hub.id").select("code", F.col("hub.id").alias("hub"), F.col("hub.near").alias("hub_near")))
-    pairs = codes.join(hub, "code").where("id <> hub").where(close("near", "hub_near")).select(F.col("hub").alias("a"), F.col("id").alias("b"), "corner")
-    first = scratch.save(verified(scratch.save(enough(pairs)), reps, least))
-    roots = components(first, scratch)
-    named = codes.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    largest = scratch.save(named.groupBy("code", "root").count().groupBy("code").agg(F.max(F.struct("count", "root")).alias("top"), F.count("*").alias("k")).where("k > 1").select("code", F.col("top.root").alias("top")))
-    mixed = scratch.save(named.join(largest, "code"))
-    x = mixed.where("root <> top").select("code", F.col("near").alias("x_near"), F.col("corner").alias("x_corner"), F.col("id").alias("x"), F.col("root").alias("x_root"))
-    y = mixed.select(F.col("code").alias("y_code"), "top", F.col("near").alias("y_near"), F.col("corner").alias("y_corner"), F.col("id").alias("y"), F.col("root").alias("y_root"))
-    rest = x.join(y, (F.col("code") == F.col("y_code")) & (F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("top")) | (F.col("x") < F.col("y"))) & close("x_near", "y_near"))
-    corner = F.when(F.col("x") < F.col("y"), F.col("x_corner")).otherwise(F.col("y_corner"))
-    second = scratch.save(verified(scratch.save(enough(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), corner.alias("corner")))), reps, least))
+    scratch, parts = Scratch(images.sparkSession, "media"), P.shuffle_parts(images)
+    found = scratch.save(images.select("id", "image").mapInArrow(features, FEATURES))
+    narrow = found.select("id", "sig", "n")
+    classes = scratch.save(narrow.where("sig is not null and id is not null").groupBy("sig").agg(F.min("id").alias("rep")))
+    named = scratch.save(narrow.where("n > 0 and id is not null").join(classes, "sig").groupBy("id", "rep").agg(F.max("n").alias("n")))
+
+    def of_classes(pairs: DataFrame) -> DataFrame:
+        """Pairs of images as pairs of their classes' smallest ids."""
+        a, b = (named.select(F.col("id").alias(x), F.col("rep").alias("r" + x), F.col("n").alias("n" + x)) for x in "ab")
+        return pairs.join(a, "a").join(b, "b").where("ra <> rb").where(F.col("k") * CORNERS_A_CODE >= F.least("na", "nb")).select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+
+    posted = found.where("n > 0 and id is not null").select("id", "sig", "codes").mapInArrow(lambda it: post(it, parts), P.SCHEMA)
+    met = scratch.save(P.dealt(posted, parts).mapInArrow(lambda it: meet(it, parts), P.SCHEMA))
+    scratch.sweep()
+    pairs = scratch.save(of_classes(P.dealt(met.where("kind = 1"), parts).mapInArrow(lambda it: tally(it, shared), "a long, b long, k long")))
+    first = verified(pairs, images, least, scratch)
+    roots = components(first, scratch).withColumnRenamed("node", "rep")
+    sharing = P.dealt(met.where("kind = 0"), parts).mapInArrow(gathered, "id long, codes binary")
+    rooted = sharing.join(named.drop("n"), "id").join(roots, "rep", "left").select("id", F.coalesce("root", "rep").alias("root"), "codes")
+    again = P.dealt(rooted.mapInArrow(lambda it: post_rooted(it, parts), P.SCHEMA), parts).mapInArrow(lambda it: cross(it, parts), P.SCHEMA)
+    rest = of_classes(P.dealt(again, parts).mapInArrow(lambda it: tally(it, shared), "a long, b long, k long"))
+    rest = scratch.save(rest.join(pairs, ["a", "b"], "left_anti"))  # each pair is verified once
+    second = verified(rest, images, least, scratch)
     linked = components(first.union(second), scratch)
     rooted = classes.join(linked.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("class_id"))
-    named = scratch.save(rooted.join(smallest, "root").select("sig", "class_id"))
-    out = found.select("id", "sig", "n").join(named, "sig", "left")
-    return out.select("id", F.coalesce("class_id", "id").alias("class_id"), F.col("n").alias("n_corners"))
+    told = scratch.save(rooted.join(smallest, "root").select("sig", "class_id"))
+    out = scratch.save(narrow)
+    scratch.drop(found, met, pairs, rest, first, second, named, classes)
+    return out.join(told, "sig", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.col("n").alias("n_corners"))
 
 
 def rendered(vectors: DataFrame) -> DataFrame:

@@ -83,6 +83,18 @@ def batch_of(kind: int, part: list[int], blob: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([kind] * len(part), pa.int32()), pa.array(blob, pa.binary())], ["part", "kind", "blob"])
 
 
+def records(kind: int, part: np.ndarray, table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of a table of 64-bit numbers, as one blob for each partition."""
+    order = np.argsort(part, kind="stable")
+    part, table = part[order], np.ascontiguousarray(table[order].astype("<i8"))
+    edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(1, np.int64)
+    return rows(kind, ((int(part[a]), table[a:b].tobytes()) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)))
+
+
+def unrecord(blobs: list[bytes], width: int) -> np.ndarray:
+    return np.concatenate([np.zeros((0, width), np.int64), *[np.frombuffer(b, "<i8").reshape(-1, width) for b in blobs]])
+
+
 def gather(batches) -> dict[int, list[bytes]]:
     """All blobs of a task by kind."""
     out: dict[int, list[bytes]] = {}
