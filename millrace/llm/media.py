@@ -39,7 +39,7 @@ from millrace.llm.components import components
 from millrace.llm.scratch import Scratch
 
 SIDE, LEVELS, SHRINK, RADIUS, CONSENSUS, DISTANCE = 96, 9, 2 ** (-1 / 6), 10, 5, 48
-MARGIN, STRENGTH, TABLES, CODE, SHARED, CORNERS_A_CODE, BLOCK = RADIUS + 2, 10.0, 5, 44, 2, 200, 512
+MARGIN, STRENGTH, TABLES, CODE, SHARED, CORNERS_A_CODE, BLOCK, POSTED = RADIUS + 2, 10.0, 5, 44, 2, 200, 512, 1 << 18
 #: Points on each of the rings, from the inner one.
 RINGS = (6, 10, 14, 16, 18)
 
@@ -266,14 +266,25 @@ def features(batches):
 def post(batches, parts: int):
     """(id, code) postings, dealt by code; images of equal bytes of a batch once."""
     for batch in batches:
-        ids, code, seen = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], set()
-        for i, sig, codes in zip(*(batch.column(c).to_pylist() for c in ("id", "sig", "codes")), strict=True):
-            if codes and sig not in seen:
-                seen.add(sig)
-                code.append(W.unpack6(codes))
-                ids.append(np.full(len(code[-1]), i))
-        i, c = np.concatenate(ids), np.concatenate(code)
-        yield from P.rows(0, P.pack(P.parts_of(W.mix(c), parts), i, c))
+        ids, code, size, seen = [], [], 0, set()
+        for lo in range(0, batch.num_rows, 64):
+            part = batch.slice(lo, 64)
+            for i, sig, codes in zip(*(part.column(c).to_pylist() for c in ("id", "sig", "codes")), strict=True):
+                if codes and sig not in seen:
+                    seen.add(sig)
+                    code.append(W.unpack6(codes))
+                    ids.append(np.full(len(code[-1]), i))
+                    size += len(code[-1])
+                    if size > POSTED:
+                        yield from posted(ids, code, parts)
+                        ids, code, size = [], [], 0
+        if size:
+            yield from posted(ids, code, parts)
+
+
+def posted(ids: list[np.ndarray], code: list[np.ndarray], parts: int):
+    c = np.concatenate(code)
+    return P.rows(0, P.pack(P.parts_of(W.mix(c), parts), np.concatenate(ids), c))
 
 
 def id_parts(ids: np.ndarray, parts: int) -> np.ndarray:
@@ -336,7 +347,7 @@ def gathered(batches):
 
 def post_rooted(batches, parts: int):
     """kind 2: (code, id, root) records, dealt by code."""
-    for batch in batches:
+    for batch in (b.slice(lo, 256) for b in batches for lo in range(0, b.num_rows, 256)):
         rows = [np.zeros((0, 3), np.int64)]
         for i, root, codes in zip(*(batch.column(c).to_pylist() for c in ("id", "root", "codes")), strict=True):
             c = np.frombuffer(codes, "<i8")
