@@ -8,12 +8,15 @@ more. Texts with equal sets form a class and are joined once. For each class:
 * Only classes whose prefix (n - ceil(0.8 n) + 1 rarest shingles) holds a shared shingle go on,
   with their shared shingles. Very frequent shingles (in a chunk of documents already) are taken
   last in the order and are known to the mappers, so their postings never meet in one task.
-* Classes that share a prefix shingle are candidates if the length and positional filters allow
-  it; a suffix filter precedes the exact count of common shingles.
+* Classes that share a prefix shingle are candidates if the length, positional and suffix filters
+  allow it. The suffix filter cuts the sets at 16 points of the hash order; the sizes of the parts bound the
+  overlap before any set is fetched.
 * First each prefix shingle's classes are compared with its hub, the class with the fewest unshared
-  shingles. Then, exactly, all candidates that are not yet connected: in each prefix shingle's
-  group the members outside the largest component meet the members of other components. Pairs that
-  are already connected need no verification, so a group of copies costs its size, not its square.
+  shingles. Then, exactly, all candidates that are not yet connected and were not compared: in each prefix
+  shingle's group the members outside the largest component meet the members of other components.
+  Length and position are tested between the distinct (size, position) kinds of a group before its members
+  meet, so a shingle that very many documents share costs nothing where the filters rule them out.
+  Pairs that are already connected need no verification, so a group of copies costs its size, not its square.
 
 A set's identity is a 64-bit fingerprint, a shingle inside a pair 48 bits of its hash.
 
@@ -25,6 +28,8 @@ table gives an empty result; other columns do not matter.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,7 +40,9 @@ from millrace.llm import words as W
 from millrace.llm.components import components
 from millrace.llm.scratch import Scratch
 
-SIZE, PERCENT = 5, 80
+SIZE, PERCENT, PARTS = 5, 80, 16
+#: A task remembers so many classes it has sent; others may be sent again.
+REMEMBERED = 1 << 16
 #: A shingle counts as frequent from so many documents of a chunk on, and over all from so many or this share; at most so many are kept.
 FREQUENT_HERE, FREQUENT_LEAST, FREQUENT_SHARE, FREQUENT_MOST = 8, 64, 0.001, 500_000
 
@@ -90,14 +97,14 @@ def signatures(batches, size: int):
 
 def post(batches, size: int, parts: int, hot: np.ndarray):
     """kind 0: shingles by their hash; kind 1: each class's frequent shingles, kind 2: its set size (both by class)."""
-    done: set[int] = set()
+    last = np.arange(1, REMEMBERED + 1)  # no key that belongs there
     for batch in W.chunks(batches):
         row, value, sizes, cid = shingle_sets(batch.column("text"), size)
+        _, at = np.unique(cid, return_index=True)
+        at = at[(sizes[at] > 0) & (last[cid[at] % REMEMBERED] != cid[at])]
+        last[cid[at] % REMEMBERED] = cid[at]
         take = np.zeros(len(cid), bool)
-        for i, (c, n) in enumerate(zip(cid.tolist(), sizes.tolist(), strict=True)):
-            if n and c not in done:
-                done.add(c)
-                take[i] = True
+        take[at] = True
         mine = take[row]
         ids, value = cid[row[mine]], value[mine]
         token = value & P.LOW48
@@ -129,11 +136,11 @@ def count(batches, parts: int):
         yield from P.rows(0, P.pack(P.parts_of(ids.view(np.uint64), parts), ids, token, df))
 
 
-SETS = "cid long, n int, own int, shared binary, prefix array<long>"
+SETS = "cid long, n int, own int, shared binary, prefix array<long>, parts array<int>"
 
 
 def prefixes(batches, percent: int, hot: np.ndarray, hot_df: np.ndarray):
-    """Classes with a shared shingle in their prefix: all shared shingles, and those of the prefix in order."""
+    """Classes with a shared shingle in their prefix: all shared shingles, those of the prefix in order, the sizes of the parts."""
     blobs = P.gather(batches)
     cid, n = P.unpack(blobs.pop(2, []))
     cid, at = np.unique(cid, return_index=True)
@@ -152,40 +159,33 @@ def prefixes(batches, percent: int, hot: np.ndarray, hot_df: np.ndarray):
     own = n - shared
     room = prefix_length(n, percent) - own
     begin = np.concatenate([[0], np.cumsum(shared)])
-    out: list[list] = [[], [], [], [], []]
+    out: list[list] = [[] for _ in range(6)]
     size = 0
     for i in np.flatnonzero((room > 0) & (shared > 0)).tolist():
         mine = token[begin[i] : begin[i + 1]]
-        for column, x in zip(out, (int(cid[i]), int(n[i]), int(own[i]), W.pack6(np.sort(mine)), mine[: room[i]].view(np.int64)), strict=True):
+        for column, x in zip(out, (int(cid[i]), int(n[i]), int(own[i]), W.pack6(np.sort(mine)), mine[: room[i]].view(np.int64), np.bincount((mine >> np.uint64(44)).astype(np.int64), minlength=PARTS)), strict=True):
             column.append(x)
         size += 6 * len(mine)
         if size > 4 << 20:
             yield sets_batch(out)
-            out, size = [[], [], [], [], []], 0
+            out, size = [[] for _ in range(6)], 0
     if out[0]:
         yield sets_batch(out)
 
 
 def sets_batch(out: list[list]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["cid", "n", "own", "shared", "prefix"])
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["cid", "n", "own", "shared", "prefix", "parts"])
 
 
 def similar(batches, percent: int):
-    """The pairs (a, b) whose sets are similar enough; the suffix filter bounds the overlap by quarters first."""
+    """The pairs (a, b) whose sets are similar enough."""
     for batch in batches:
         keep = []
         for na, nb, ra, rb in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "sa", "sb")), strict=True):
             x, y = W.unpack6(ra), W.unpack6(rb)
-            need = -(-percent * (na + nb) // (100 + percent))
-            cut = x[[len(x) // 4, len(x) // 2, 3 * len(x) // 4]]
-            parts_x = np.diff(np.concatenate([[0], np.searchsorted(x, cut), [len(x)]]))
-            parts_y = np.diff(np.concatenate([[0], np.searchsorted(y, cut), [len(y)]]))
-            ok = bool(np.minimum(parts_x, parts_y).sum() >= need)
-            if ok:
-                at = np.searchsorted(y, x)
-                ok = int((y[np.minimum(at, len(y) - 1)] == x).sum()) >= need
-            keep.append(ok)
+            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+            keep.append((100 + percent) * int((y[at] == x).sum()) >= percent * (na + nb))
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], ["a", "b"])
 
 
@@ -210,30 +210,44 @@ def links(docs: DataFrame, scratch: Scratch, size: int, percent: int) -> tuple[D
     counted = P.dealt(posted, parts).mapInArrow(lambda it: count(it, parts), P.SCHEMA)
     sets = scratch.save(P.dealt(counted, parts).mapInArrow(lambda it: prefixes(it, percent, *hot.value), SETS))
     scratch.sweep()
-    entries = sets.select("cid", "n", "own", F.posexplode("prefix").alias("pos", "tok")).select("tok", "cid", "n", "own", (F.col("own") + F.col("pos")).alias("pos"))
+    entries = sets.select("cid", "n", "own", "parts", F.posexplode("prefix").alias("pos", "tok")).select("tok", "cid", "n", "own", (F.col("own") + F.col("pos")).alias("pos"), "parts")
+
+    def needed(na, nb) -> F.Column:
+        return F.ceil(F.lit(percent) * (na + nb) / F.lit(100 + percent))
 
     def allowed(na, nb, pa_, pb) -> F.Column:
         """Length and positional filters."""
-        need = F.ceil(F.lit(percent) * (na + nb) / F.lit(100 + percent))
-        return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.least(na - pa_, nb - pb) >= need)
+        return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.least(na - pa_, nb - pb) >= needed(na, nb))
+
+    def overlaps(na, nb, xs, ys) -> F.Column:
+        """Suffix filter: the parts of the hash order bound the overlap."""
+        return F.aggregate(F.zip_with(xs, ys, lambda x, y: F.least(x, y)), F.lit(0), lambda t, k: t + k) >= needed(na, nb)
 
     # saved, so that the join deals both sides anew and adaptive execution can split a frequent shingle's entries
-    hub = scratch.save(entries.groupBy("tok").agg(F.min(F.struct("own", "n", "cid", "pos")).alias("hub"), F.count("*").alias("k")).where("k > 1").select("tok", "hub"))
+    hub = scratch.save(entries.groupBy("tok").agg(F.min(F.struct("own", "n", "cid", "pos", "parts")).alias("hub"), F.count("*").alias("k")).where("k > 1").select("tok", "hub"))
     near = entries.join(hub, "tok").where((F.col("cid") != F.col("hub.cid")) & allowed(F.col("n"), F.col("hub.n"), F.col("pos"), F.col("hub.pos")))
-    pairs = near.select(F.least("cid", "hub.cid").alias("a"), F.greatest("cid", "hub.cid").alias("b")).distinct()
+    near = near.where(overlaps(F.col("n"), F.col("hub.n"), F.col("parts"), F.col("hub.parts")))
+    pairs = scratch.save(near.select(F.least("cid", "hub.cid").alias("a"), F.greatest("cid", "hub.cid").alias("b")).distinct())
     first = scratch.save(verified(pairs, sets, percent))
     roots = components(first, scratch)
     named = entries.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     largest = scratch.save(named.groupBy("tok", "root").count().groupBy("tok").agg(F.max(F.struct("count", "root")).alias("top"), F.count("*").alias("k")).where("k > 1").select("tok", F.col("top.root").alias("top")))
     mixed = scratch.save(named.join(largest, "tok"))
-    x = mixed.where("root <> top").select("tok", *[F.col(c).alias("x_" + c) for c in ("cid", "n", "pos", "root")])
-    y = mixed.select("tok", "top", *[F.col(c).alias("y_" + c) for c in ("cid", "n", "pos", "root")])
+    # sizes that differ by the length filter's factor at most are in the same or in neighbouring classes
+    step = F.floor(F.log(F.col("n")) / F.lit(math.log(100 / percent + 1e-9))).cast("int")
+    kinds = scratch.save(mixed.groupBy("tok", "n", "pos").agg(F.max(F.col("root") != F.col("top")).alias("outside")).withColumn("step", step))
+    x = kinds.where("outside").select("tok", F.col("n").alias("x_n"), F.col("pos").alias("x_pos"), F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"))
+    y = kinds.select("tok", F.col("n").alias("y_n"), F.col("pos").alias("y_pos"), "step")
+    meeting = scratch.save(x.join(y, ["tok", "step"]).where(allowed(F.col("x_n"), F.col("y_n"), F.col("x_pos"), F.col("y_pos"))).select("tok", "x_n", "x_pos", "y_n", "y_pos"))
+    x = mixed.where("root <> top").select("tok", *[F.col(c).alias("x_" + c) for c in ("cid", "n", "pos", "root", "parts")])
+    y = mixed.select("tok", "top", *[F.col(c).alias("y_" + c) for c in ("cid", "n", "pos", "root", "parts")])
     once = (F.col("y_root") == F.col("top")) | (F.col("x_cid") < F.col("y_cid"))
-    rest = x.join(y, (x["tok"] == y["tok"]) & (F.col("x_root") != F.col("y_root")) & once & allowed(F.col("x_n"), F.col("y_n"), F.col("x_pos"), F.col("y_pos")))
-    pairs = rest.select(F.least("x_cid", "y_cid").alias("a"), F.greatest("x_cid", "y_cid").alias("b")).distinct()
-    second = scratch.save(verified(pairs, sets, percent))
+    rest = x.join(meeting, ["tok", "x_n", "x_pos"]).join(y, ["tok", "y_n", "y_pos"]).where((F.col("x_root") != F.col("y_root")) & once)
+    rest = rest.where(overlaps(F.col("x_n"), F.col("y_n"), F.col("x_parts"), F.col("y_parts")))
+    rest = rest.select(F.least("x_cid", "y_cid").alias("a"), F.greatest("x_cid", "y_cid").alias("b")).distinct()
+    second = scratch.save(verified(rest.join(pairs, ["a", "b"], "left_anti"), sets, percent))  # each pair is verified once
     out = components(first.union(second), scratch)
-    scratch.drop(roots, hub, largest, mixed, first, second, sets)
+    scratch.drop(roots, hub, pairs, largest, mixed, kinds, meeting, first, second, sets)
     return documents, out
 
 

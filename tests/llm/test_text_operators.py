@@ -51,6 +51,12 @@ def test_ngram_join_chains_and_frequent_shingles(spark):
     check_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
 
 
+def test_ngram_join_boilerplate(spark):
+    """A shingle that all share, and lengths and positions that rule all pairs out."""
+    rows = [(i, f"all rights reserved by the owner of page {i}") for i in range(1500)] + [(5000 + i, f"all rights reserved by the owner of page {i} {i} and of many others too") for i in range(300)]
+    check_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+
+
 # 2
 
 
@@ -98,6 +104,53 @@ def test_kept_text_and_spans(spark):
     assert r["kept"] == "x y" and r["n_removed"] == 20 and [(s["start"], s["end"]) for s in r["spans"]] == [(1, 21)]
 
 
+def plain_factors(rows, k):
+    """Greedy factors of each text against the windows of smaller ids, each where it occurs first."""
+    words = [brute.WORD.findall(t or "") for _, t in rows]
+    first = {}
+    for (doc, _), w in sorted(zip(rows, words, strict=True), key=lambda x: x[0][0]):
+        for i in range(len(w) - k + 1):
+            first.setdefault(tuple(w[i : i + k]), (doc, i))
+    out = {}
+    for (doc, _), w in zip(rows, words, strict=True):
+        source = [s if (s := first[tuple(w[i : i + k])])[0] < doc else None for i in range(len(w) - k + 1)]
+        i, out[doc] = 0, []
+        while i < len(source):
+            if source[i] is None:
+                i += 1
+                continue
+            n = 1
+            while i + n < len(source) and source[i + n] == (source[i][0], source[i][1] + n):
+                n += 1
+            out[doc].append((i, i + n - 1 + k, *source[i]))
+            i += n - 1 + k
+    return out
+
+
+def test_factors(spark):
+    rng = random.Random(5)
+    passages = [[f"p{i}x{j}" for j in range(12)] for i in range(6)]
+    rows = []
+    for d in range(40):
+        text = [f"u{d}y{i}" for i in range(rng.randrange(4))]
+        for _ in range(rng.randrange(4)):
+            p = rng.choice(passages)
+            a = rng.randrange(5)
+            text += p[a : a + rng.randrange(4, 12)] + [f"z{rng.randrange(30)}"] * rng.randrange(2)
+        rows.append((d * 3 - 20, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    told = {r["doc_id"]: [tuple(f) for f in r["factors"]] for r in substring.deduplicate(df.coalesce(1), 4).collect()}
+    assert told == plain_factors(rows, 4) and sum(map(len, told.values())) > 30
+    # in several chunks a chunk's own earlier documents are a block too: other sources, but true ones
+    words = {d: t.split() for d, t in rows}
+    for r in substring.deduplicate(df.repartition(5), 4).collect():
+        end = 0
+        for start, stop, source, at in map(tuple, r["factors"]):
+            assert end <= start and stop - start >= 4 and source < r["doc_id"] and words[r["doc_id"]][start:stop] == words[source][at : at + stop - start]
+            end = stop
+    check_substrings(df.repartition(5), 4)
+
+
 # 4
 
 
@@ -215,12 +268,12 @@ def test_water_filling(spark, sizes):
 # 9
 
 
-def check_scores(df, vocabulary=katz.VOCABULARY, least=1):
+def check_scores(df):
     rows = pairs(df)
     train = [d is None or zlib.crc32(str(d).encode()) % 5 != 1 for d, _ in rows]
-    model = brute.Katz([t for (_, t), k in zip(rows, train, strict=True) if k], least)
+    model = brute.Katz([t for (_, t), k in zip(rows, train, strict=True) if k])
     is_train = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1, F.lit(True))
-    got = sorted(([-1 if r[0] is None else r[0], *r[1:]] for r in katz.score(df, is_train, vocabulary=vocabulary).collect()), key=lambda r: (r[0], r[2], r[6]))
+    got = sorted(([-1 if r[0] is None else r[0], *r[1:]] for r in katz.score(df, is_train).collect()), key=lambda r: (r[0], r[2], r[6]))
     want = sorted(([-1 if d is None else d, not k, *model.score(t)] for (d, t), k in zip(rows, train, strict=True)), key=lambda r: (r[0], r[2], r[5]))
     for g, w in zip(got, want, strict=True):
         assert g[:4] == w[:4] and g[4] == model.N and g[5:] == pytest.approx(w[4:], rel=1e-9)
@@ -235,12 +288,13 @@ def test_katz(documents, odd, none):
     assert katz.op9(none).count() == 0
 
 
-def test_katz_small_vocabulary(documents):
-    some = documents.where("doc_id < 60")
-    rows = pairs(some)
-    counts = Counter(w for d, t in rows if zlib.crc32(str(d).encode()) % 5 != 1 for w in brute.WORD.findall(t.translate(brute.LOWER)))
-    least = 4
-    check_scores(some, vocabulary=sum(c >= least for c in counts.values()), least=least)
+def test_katz_caches_change_no_score(documents, monkeypatch):
+    """Whatever words and pairs are dealt by pair or broadcast, the scores are those of the plain version."""
+    some = documents.where("doc_id < 80")
+    for least, share in ((1, 1 / 4096), (1 << 40, 1.0), (3, 1 / 50)):
+        monkeypatch.setattr(katz, "COMMON_LEAST", least)
+        monkeypatch.setattr(katz, "HOT_SHARE", share)
+        check_scores(some.repartition(3))
 
 
 # 10
