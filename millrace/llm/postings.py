@@ -83,6 +83,42 @@ def batch_of(kind: int, part: list[int], blob: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([kind] * len(part), pa.int32()), pa.array(blob, pa.binary())], ["part", "kind", "blob"])
 
 
+def pack_runs(part: np.ndarray, keys: list[np.ndarray], values: list[np.ndarray], kinds: tuple[str, ...]) -> Iterator[tuple[int, bytes]]:
+    """(partition, blob): runs of equal 64-bit ``keys`` inside a partition, and for each entry its ``values``, of a numpy kind or "6" for 48 bits."""
+    if not len(part):
+        return
+    order = np.lexsort((*reversed(keys), part))
+    part, keys = part[order], [k[order].astype("<i8") for k in keys]
+    values = [raw6(v[order]) if kind == "6" else v[order].astype(kind) for v, kind in zip(values, kinds, strict=True)]
+    new = np.ones(len(part), bool)
+    new[1:] = part[1:] != part[:-1]
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    run = np.flatnonzero(new)
+    length = np.diff(np.append(run, len(part))).astype("<u4")
+    run_part, run_keys = part[run], [k[run] for k in keys]
+    edge = np.flatnonzero(np.concatenate([[True], run_part[1:] != run_part[:-1], [True]]))
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        lo, hi = int(run[a]), int(run[b - 1] + length[b - 1])
+        yield int(run_part[a]), b"".join([np.array([b - a], "<u4").tobytes(), *[k[a:b].tobytes() for k in run_keys], length[a:b].tobytes(), *[v[lo:hi].tobytes() for v in values]])
+
+
+def unpack_runs(blobs: list[bytes], keys: int, kinds: tuple[str, ...]) -> list[np.ndarray]:
+    """All blobs' keys and values, one entry for each value."""
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(keys)] + [[np.zeros(0, np.uint64 if kind == "6" else kind)] for kind in kinds]
+    for blob in blobs:
+        k = int(np.frombuffer(blob, "<u4", 1)[0])
+        length = np.frombuffer(blob, "<u4", k, 4 + 8 * k * keys)
+        for i in range(keys):
+            out[i].append(np.repeat(np.frombuffer(blob, "<i8", k, 4 + 8 * k * i), length))
+        n, at = int(length.sum()), 4 + 8 * k * keys + 4 * k
+        for i, kind in enumerate(kinds):
+            size = n * (6 if kind == "6" else np.dtype(kind).itemsize)
+            out[keys + i].append(W.unpack6(memoryview(blob)[at : at + size]) if kind == "6" else np.frombuffer(blob, kind, n, at))
+            at += size
+    return [np.concatenate(x) for x in out]
+
+
 def records(kind: int, part: np.ndarray, table: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows of a table of 64-bit numbers, as one blob for each partition."""
     order = np.argsort(part, kind="stable")
