@@ -1,34 +1,33 @@
 """Language-model scores: Katz backoff over words.
 
 P(w | h) is the discounted count share d(c) c(h, w) / c(h) where the pair was seen in training,
-else a(h) P(w). Discounts are Good-Turing's for counts up to 5, and a(h) is what the seen pairs
+else a(h) P(w); P(w) is the discounted share of w, and what the words leave over is the unknown
+type's. Discounts are Good-Turing's for counts up to 5, and a(h) is what the seen pairs
 leave over, divided by the unigram probability of the words not seen after h, so that each
-history's probabilities sum to exactly 1.
+history's probabilities sum to exactly 1. The order is 2; every word of the training part is a type
+and a history of its own, whatever their number.
 
-Words by training count down to the least count that leaves at most ``vocabulary`` of them have
-ids and histories of their own. All rarer and unseen words are one class; its probability is
-shared evenly by the rarer types and one unknown type. Bigram counts are kept in a table of packed
-blocks, dealt by history, and by pair for the most frequent histories, so that no common word's
-pairs meet in one task. A document's score is
+The model is a table of packed blocks. Pairs are counted in blocks by their second word, which adds
+up the word's own count as well, then dealt to blocks by their history, which add up its
+discounted counts and seen unigram mass and so know a(h). Pairs of very frequent words (found in a sample, which
+decides only where a pair is counted) are dealt by pair, their sums added up over the blocks.
 
-    sum of log a(h) + log P(w) over its tokens
-    + sum over its seen pairs of log P(w | h) - log a(h) - log P(w),
+Per token the recursion P(w | h) -> a(h) P(w) is followed in logarithms:
 
-where the first sum is taken as the text is read and the second in the blocks.
+    log P(w) + log a(h), and for a pair that was seen log P(w | h) - log a(h) - log P(w) on top.
 
-Vocabulary and backoff weights are broadcast: at most ``vocabulary`` entries, whatever the corpus;
-and the pairs that make up a 200,000th of all tokens each, so that none of them meets in one task.
-Counts cover the whole training part; equal texts are scored once and share the result.
+Each text asks the blocks for its words and pairs; the blocks answer with sums. Words and pairs that make up a
+200,000th of all tokens each are broadcast with the same values (at most 200,000 of either, whatever the corpus),
+so that none of them meets in one task; this changes no score. Counts cover the whole training part; equal texts of a task are
+scored once. A word is known by 48 bits of its hash, a pair by 48 bits and its block.
 
 Results for odd input: a null or wordless text is one end token; a null key is training text; an
-empty training part gives every token the unknown type's share; repeated rows count each in
+empty training part gives every token probability 1; repeated rows count each in
 training; an empty table gives an empty result; other columns do not matter.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,13 +37,13 @@ from millrace.llm import postings as P
 from millrace.llm import words as W
 from millrace.llm.scratch import Scratch
 
-VOCABULARY, CUTOFF, CHUNK = 1 << 20, 5, 4 << 20
-#: Ids: 0 the class of rare words, 1 the end, 2 the start (a history only), then words by falling count.
-RARE, END, START, FIRST = 0, 1, 2, 3
-#: Histories with smaller ids are dealt by pair; pairs with this share of all tokens (so at most 1 / share of them) are broadcast.
-FREQUENT, COMMON_SHARE, COMMON_LEAST = 4096, 1 / 200_000, 64
-#: Stands for a text's presence among its pairs.
-PRESENT = (1 << 48) - 1
+CUTOFF, CHUNK = 5, 4 << 20
+#: Words with this share of a sample of so many texts are dealt by pair; words and pairs with this share of all tokens are broadcast.
+HOT_SHARE, SAMPLE, COMMON_SHARE, COMMON_LEAST = 1 / 4096, 4000, 1 / 200_000, 64
+#: Stand for a text's end, its start (a history only), and its presence among its pairs.
+END, START, PRESENT = (1 << 48) - 1, (1 << 48) - 2, (1 << 48) - 3
+#: A task remembers so many texts it has sent; others may be sent again.
+REMEMBERED = 1 << 16
 
 
 def discounts(n: list[float], cutoff: int = CUTOFF) -> np.ndarray:
@@ -67,84 +66,21 @@ def hashes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return W.word_hashes(buf, starts, ends, True) & P.LOW48, first
 
 
-def count_words(batches, parts: int):
-    """Words of training texts, counted by chunk."""
-    for batch in W.chunks(batches, CHUNK):
-        h, _ = hashes(batch.column("text"))
-        w, c = np.unique(h, return_counts=True)
-        yield from P.rows(0, P.pack(P.parts_of(W.mix(w), parts), np.zeros(len(w), np.int64), w, c))
-
-
-def merged(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct tokens and their summed counts."""
-    _, token, c = P.unpack(blobs, True)
-    token, at = np.unique(token, return_inverse=True)
-    return token, np.bincount(at, c, len(token)).astype(np.int64)
-
-
-def sum_counts(batches):
-    """kind 3 (words) or 2 (pairs): one block's counts, cut into counts below 2^32."""
-    for kind, blobs in P.gather(batches).items():
-        token, c = merged(blobs)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(token), kind, np.int32)), pa.array(token.view(np.int64)), pa.array(c)], ["kind", "token", "c"])
-
-
-def pair_parts(pair: np.ndarray, parts: int) -> np.ndarray:
-    """The block of a pair (history id << 24 | word id)."""
-    h = pair >> np.uint64(24)
-    return P.parts_of(W.mix(np.where(h < FREQUENT, pair, h)), parts)
-
-
-def tokens(text: pa.Array, vocab: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, their ids, rows' bounds over words, and pairs of all rows with each row's end (n + 1 a row)."""
+def tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes, rows' bounds over words, and histories and targets of all rows with each row's end (n + 1 a row)."""
     h, first = hashes(text)
-    at = np.minimum(np.searchsorted(vocab, h), max(len(vocab) - 1, 0))
-    w = np.where(vocab[at] == h, ids[at], RARE) if len(vocab) else np.full(len(h), RARE)
     rows, n = len(first) - 1, len(h)
     target = np.empty(n + rows, np.uint64)
-    word_place = np.arange(n) + np.repeat(np.arange(rows), np.diff(first))
-    target[word_place] = w
+    target[np.arange(n) + np.repeat(np.arange(rows), np.diff(first))] = h
     target[first[1:] + np.arange(rows)] = END
     history = np.empty(n + rows, np.uint64)
     history[1:] = target[:-1]
     history[first[:-1] + np.arange(rows)] = START
-    return h, w, first, history << np.uint64(24) | target
-
-
-def count_pairs(batches, parts: int, vocab: np.ndarray, ids: np.ndarray):
-    for batch in W.chunks(batches, CHUNK):
-        *_, pair = tokens(batch.column("text"), vocab, ids)
-        pair, c = np.unique(pair, return_counts=True)
-        yield from P.rows(2, P.pack(pair_parts(pair, parts), np.zeros(len(pair), np.int64), pair, c))
-
-
-def left_over(batches, d: np.ndarray, log_p: np.ndarray):
-    """Per history and batch: count, discounted count, whether all counts are beyond the cutoff, unigram mass seen."""
-    for batch in batches:
-        pair, c = np.asarray(batch.column("token")).view(np.uint64), np.asarray(batch.column("c"))
-        h, at = np.unique(pair >> np.uint64(24), return_inverse=True)
-        sums = [np.bincount(at, x, len(h)) for x in (c.astype(float), discounted(c, d), 10.0 ** log_p[(pair & np.uint64((1 << 24) - 1)).astype(np.int64)])]
-        yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), *[pa.array(x) for x in sums]], ["h", "c", "dc", "p"])
+    return h, first, history, target
 
 
-def read(batches, model: dict):
-    """One row a text: key (a hash of its words), tokens, and the sums that need no counts but the vocabulary's."""
-    for batch in W.chunks(batches, CHUNK):
-        h, w, first, pair = tokens(batch.column("text"), model["vocab"], model["ids"])
-        rows = batch.num_rows
-        row = np.repeat(np.arange(rows), np.diff(first))
-        own = model["log_a"][(pair >> np.uint64(24)).astype(np.int64)] + model["log_p"][(pair & np.uint64((1 << 24) - 1)).astype(np.int64)]
-        own[np.flatnonzero((pair & np.uint64((1 << 24) - 1)) == RARE)] += model["log_rare"]
-        pair_row = np.repeat(np.arange(rows), np.diff(first) + 1)
-        common, at = places(model["common"], pair)
-        own[common] += model["common_value"][at[common]]
-        posted = np.bincount(pair_row[~common], minlength=rows) + 1
-        known = w != RARE
-        base = np.bincount(row[known], model["log_base"][w[known].astype(np.int64)], rows) + model["log_base"][END]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("held_out"), pa.array(keys(h, first)), pa.array(np.diff(first) + 1), pa.array(np.bincount(row[known], minlength=rows) + model["end_known"]), pa.array(base), pa.array(np.bincount(pair_row, own, rows)), pa.array(posted.astype(np.int64))],
-            ["doc_id", "held_out", "key", "n_tokens", "known", "base", "own", "posted"],
-        )
+def pair_hash(history: np.ndarray, target: np.ndarray) -> np.ndarray:
+    return W.mix(W.mix(history + np.uint64(W.STEP)) ^ target)
 
 
 def places(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,6 +91,181 @@ def places(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return table[at] == x, at
 
 
+def blocks(word: np.ndarray, pair: np.ndarray, hot: np.ndarray, parts: int) -> np.ndarray:
+    """The block of a word, or of the pair where the word is hot."""
+    return P.parts_of(np.where(places(hot, word)[0], pair, W.mix(word)), parts)
+
+
+def sampled_words(batches):
+    for batch in W.chunks(batches, CHUNK):
+        w, c = np.unique(hashes(batch.column("text"))[0], return_counts=True)
+        mine = c >= max(2, c.sum() * HOT_SHARE / 4)
+        w, c, n = np.append(w[mine].astype(np.int64), -1), np.append(c[mine], 0), c.sum()
+        yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(c), pa.array(np.where(w < 0, n, 0))], ["w", "c", "n"])
+
+
+def hot_words(train: DataFrame, rows: int) -> np.ndarray:
+    """Words with HOT_SHARE of a sample, the end and the start, sorted."""
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(min(1.0, SAMPLE / max(rows, 1)) * (1 << 30)))
+    found = train.where(draw).select("text").mapInArrow(sampled_words, "w long, c long, n long").groupBy("w").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+    total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    some = found.where(F.col("c") >= max(2.0, total * HOT_SHARE)).collect()  # at most 1 / HOT_SHARE rows
+    return np.unique(np.array([r["w"] for r in some] + [END, START], np.uint64))
+
+
+def count_pairs(batches, parts: int, hot: np.ndarray):
+    """Pairs of training texts, counted by chunk, to the blocks of their second words."""
+    for batch in W.chunks(batches, CHUNK):
+        _, _, v, w = tokens(batch.column("text"))
+        pair, at, c = np.unique(pair_hash(v, w), return_index=True, return_counts=True)
+        yield from P.rows(0, P.pack_runs(blocks(w[at], pair, hot, parts), [w[at]], [v[at], c], ("6", "<u4")))
+
+
+COUNTED = "kind int, blob binary, key long, n long"
+
+
+def counted(kind: int, blob: list[bytes] | None, key: np.ndarray | None = None, n: np.ndarray | None = None) -> pa.RecordBatch:
+    size = len(blob) if blob is not None else len(key)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([kind] * size, pa.int32()), pa.array(blob or [None] * size, pa.binary()), pa.array(np.zeros(size, np.int64) if key is None else key.astype(np.int64)), pa.array(np.zeros(size, np.int64) if n is None else n.astype(np.int64))], ["kind", "blob", "key", "n"]
+    )
+
+
+def add_pairs(batches, hot: np.ndarray):
+    """A block's pairs with their and their second word's count (kind 0), hot words' partial counts (1), and how many pairs (2)
+    and words (3) of each small count there are, and of all words (key 0)."""
+    w, v, c = P.unpack_runs(P.gather(batches).pop(0, []), 1, ("6", "<u4"))
+    if not len(w):
+        return
+    w = w.view(np.uint64)
+    order = np.lexsort((v, w))
+    w, v, c = w[order], v[order], c[order].astype(np.int64)
+    at = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (v[1:] != v[:-1])]))
+    c, w, v = np.add.reduceat(c, at), w[at], v[at]
+    at = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+    sums = np.add.reduceat(c, at)
+    is_hot = places(hot, w[at])[0]
+    each = np.repeat(sums, np.diff(np.append(at, len(w))))
+    for lo in range(0, len(w), 1 << 18):
+        s = slice(lo, lo + (1 << 18))
+        yield counted(0, [b for _, b in P.pack_runs(np.zeros(len(w[s]), np.int32), [w[s], each[s]], [v[s], c[s]], ("6", "<i8"))])
+    yield counted(1, None, w[at][is_hot].view(np.int64), sums[is_hot])
+    small = np.arange(1, CUTOFF + 2)
+    yield counted(2, None, small, np.bincount(c[c <= CUTOFF + 1], minlength=CUTOFF + 2)[1:])
+    own = sums[~is_hot]
+    yield counted(3, None, np.append(small, 0), np.append(np.bincount(own[own <= CUTOFF + 1], minlength=CUTOFF + 2)[1:], len(own)))
+    yield counted(4, None, np.zeros(1), np.array([sums.sum()]))
+
+
+def by_history(batches, parts: int, hot: np.ndarray, hot_count: np.ndarray):
+    """Pairs with both counts, to the blocks of their histories."""
+    for batch in batches:
+        for blob in batch.column("blob").to_pylist():
+            w, cw, v, c = P.unpack_runs([blob], 2, ("6", "<i8"))
+            w = w.view(np.uint64)
+            known, at = places(hot, w)
+            cw = np.where(known, hot_count[at], cw)
+            yield from P.rows(0, P.pack_runs(blocks(v, pair_hash(v, w), hot, parts), [v], [w, c, cw], ("6", "<i8", "<i8")))
+
+
+def weight(c: np.ndarray, dc: np.ndarray, p: np.ndarray, unknown: float) -> tuple[np.ndarray, np.ndarray]:
+    """log a(h) and the count that its pairs are shares of, from c(h), the discounted counts and the seen unigram mass."""
+    full = np.where(c - dc > 1e-9 * c, c, c + 1)  # nothing was discounted: leave one count's worth over
+    return np.log10(1 - dc / full) - np.log10(np.maximum(1 - p, unknown)), full  # the unknown type is never seen: 1 - p is no less but for rounding
+
+
+MODEL = "part int, kind int, blob binary, key long, c long, x double, y double, z double"
+
+
+def model_rows(kind: int, key: np.ndarray, c: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
+    size = len(key)
+    values = [*values, *[np.zeros(size)] * (3 - len(values))]
+    return pa.RecordBatch.from_arrays([pa.array(np.zeros(size, np.int32)), pa.array(np.full(size, kind, np.int32)), pa.nulls(size, pa.binary()), pa.array(key.astype(np.int64)), pa.array(c.astype(np.int64)), *[pa.array(np.asarray(x, float)) for x in values]], ["part", "kind", "blob", "key", "c", "x", "y", "z"])
+
+
+def model_blobs(batches):
+    for b in batches:
+        size = b.num_rows
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.zeros(size, np.int64)), pa.array(np.zeros(size, np.int64)), *[pa.array(np.zeros(size))] * 3], ["part", "kind", "blob", "key", "c", "x", "y", "z"])
+
+
+def weigh(batches, parts: int, model: dict):
+    """A block's words (kind 12) and pairs (10; 11: of hot histories, whose a(h) comes later) for look-ups; of hot
+    histories the partial sums (kind 1); the common words (2) and pairs (3: of hot histories, 4) as rows."""
+    v, w, c, cw = P.unpack_runs(P.gather(batches).pop(0, []), 1, ("6", "<i8", "<i8"))
+    if not len(v):
+        return
+    v = v.view(np.uint64)
+    order = np.argsort(v, kind="stable")
+    v, w, c, cw = v[order], w[order], c[order], cw[order]
+    at = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+    share = unigram(cw, model)
+    dc = discounted(c, model["d2"])
+    sums = [np.add.reduceat(x, at) for x in (c, dc, share)]
+    word, n = v[at], np.diff(np.append(at, len(v)))
+    is_hot, place = places(model["hot"], word)
+    yield model_rows(1, word[is_hot], sums[0][is_hot], sums[1][is_hot], sums[2][is_hot])
+    log_a, full = weight(*sums, model["unknown"])
+    part = P.parts_of(W.mix(word), parts)
+    yield from model_blobs(P.rows(12, P.pack_runs(part[~is_hot], [], [word[~is_hot], sums[0][~is_hot], log_a[~is_hot]], ("6", "<i8", "<f8"))))
+    often = ~is_hot & (sums[0] >= model["common_from"])
+    yield model_rows(2, word[often], sums[0][often], log_a[often])
+    pair, gain, hot = pair_hash(v, w), np.log10(dc) - np.log10(share), np.repeat(is_hot, n)
+    gain -= np.where(hot, 0, np.repeat(log_a + np.log10(full), n))
+    place, often, part = np.repeat(place, n), c >= model["common_from"], blocks(v, pair, model["hot"], parts)
+    yield from model_blobs(P.rows(10, P.pack_runs(part[~hot], [], [pair[~hot], gain[~hot]], ("6", "<f8"))))
+    yield from model_blobs(P.rows(11, P.pack_runs(part[hot], [], [pair[hot], gain[hot], place[hot]], ("6", "<f8", "<u2"))))
+    yield model_rows(3, (pair & P.LOW48)[often & hot], place[often & hot], gain[often & hot])
+    yield model_rows(4, (pair & P.LOW48)[often & ~hot], c[often & ~hot], gain[often & ~hot])
+
+
+def unigram(c: np.ndarray, model: dict) -> np.ndarray:
+    """P(w) of words with these counts; the unknown type's for 0."""
+    if model["undiscounted"]:
+        return np.where(c > 0, c / (model["N"] + 1.0), model["unknown"])
+    return np.where(c > 0, discounted(c, model["d1"]) / max(model["N"], 1), model["unknown"])
+
+
+def base_of(c: np.ndarray, model: dict) -> np.ndarray:
+    return np.log10((c + 0.5) / (model["N"] + 0.5 * (model["V"] + 1)))
+
+
+def fit(train: DataFrame, scratch: Scratch) -> tuple[dict, DataFrame]:
+    """The model's broadcast part (bounded), and the table of its blocks."""
+    parts, spark = P.shuffle_parts(train), train.sparkSession
+    hot, train = hot_words(train, train.count()), train.select("text")
+    pairs = scratch.save(P.dealt(train.mapInArrow(lambda it: count_pairs(it, parts, hot), P.SCHEMA), parts).mapInArrow(lambda it: add_pairs(it, hot), COUNTED))
+    scratch.sweep()
+    told = {(r["kind"], r["key"]): r["n"] for r in pairs.where("kind > 0").groupBy("kind", "key").agg(F.sum("n").alias("n")).collect()}  # hot words and a few sums
+    hot_count = np.array([told.get((1, int(x)), 0) for x in hot], np.int64)
+    N, V = told.get((4, 0), 0), told.get((3, 0), 0) + int((hot_count > 0).sum())
+    n1 = [float(told.get((3, r), 0) + (hot_count == r).sum()) if r else 0.0 for r in range(CUTOFF + 2)]
+    d1, d2 = discounts(n1), discounts([float(told.get((2, r), 0)) if r else 0.0 for r in range(CUTOFF + 2)])
+    model = {"hot": hot, "N": N, "V": V, "d1": d1, "d2": d2, "undiscounted": sum(n1[1 : CUTOFF + 1]) == 0, "common_from": max(COMMON_LEAST, N * COMMON_SHARE)}
+    left = 1.0 / (N + 1) if model["undiscounted"] else sum(n1[r] * r * (1 - d1[r]) for r in range(1, CUTOFF + 1)) / max(N, 1)
+    model["unknown"] = left if N else 1.0
+    shared = spark.sparkContext.broadcast(model)
+    posted = pairs.where("kind = 0").select("blob").mapInArrow(lambda it: by_history(it, parts, hot, hot_count), P.SCHEMA)
+    table = scratch.save(P.dealt(posted, parts).mapInArrow(lambda it: weigh(it, parts, shared.value), MODEL))
+    scratch.drop(pairs)
+    sums = {r["key"]: r for r in table.where("kind = 1").groupBy("key").agg(F.sum("c").alias("c"), F.sum("x").alias("x"), F.sum("y").alias("y")).collect()}  # hot words
+    c, dc, p = (np.array([sums[int(x)][name] if int(x) in sums else 0 for x in hot], float) for name in "cxy")
+    log_a, full = np.zeros(len(hot)), np.ones(len(hot))
+    seen = c > 0
+    log_a[seen], full[seen] = weight(c[seen], dc[seen], p[seen], model["unknown"])
+    model["hot_off"] = log_a + np.log10(full)
+    common = {k: table.where(F.col("kind") == k).select("key", "c", "x").toArrow() for k in (2, 3, 4)}  # at most 1 / COMMON_SHARE rows each
+    column = lambda k, i: np.asarray(common[k].column(i).combine_chunks())
+    word, count, log_as = np.concatenate([hot, column(2, 0).view(np.uint64)]), np.concatenate([hot_count, column(2, 1)]), np.concatenate([log_a, column(2, 2)])
+    order = np.argsort(word)
+    word, count, log_as = word[order], count[order], log_as[order]
+    model |= {"word": word, "count": count, "log_a": log_as, "log_p": np.log10(unigram(count, model)), "log_base": base_of(count, model)}
+    pair, value = np.concatenate([column(3, 0), column(4, 0)]).view(np.uint64), np.concatenate([column(3, 2) - model["hot_off"][column(3, 1)], column(4, 2)])
+    order = np.argsort(pair)
+    model |= {"pair": pair[order], "gain": value[order]}
+    return model, table.where("kind >= 10").select("part", "kind", "blob")
+
+
 def keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each row's word sequence."""
     n = np.diff(first)
@@ -164,168 +275,112 @@ def keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return W.mix(sums[first[1:]] - sums[first[:-1]] + n.astype(np.uint64)).view(np.int64)
 
 
-def post(batches, parts: int, vocab: np.ndarray, ids: np.ndarray, common: np.ndarray):
-    """kind 0: a text's pairs but the common ones, kind 1: its rare words; each text of a task once."""
-    done: set[int] = set()
+def read(batches, model: dict):
+    """One row a text: key (a hash of its words), tokens, the sums over common words and pairs, and how many others there are."""
+    for batch in W.chunks(batches, CHUNK):
+        h, first, v, w = tokens(batch.column("text"))
+        rows = np.arange(batch.num_rows)
+        row = np.repeat(rows, np.diff(first) + 1)
+        pair = pair_hash(v, w) & P.LOW48
+        known, at = places(model["word"], w)  # the end is known, as all hot words are
+        common, place = places(model["pair"], pair)
+        start = int(np.searchsorted(model["word"], np.uint64(START)))
+        total = lambda r, x: np.bincount(r, x, len(rows))  # noqa: B023, E731
+        own = total(row[known], (model["log_p"] + np.where(model["word"] == END, 0, model["log_a"]))[at[known]]) + total(row[common], model["gain"][place[common]]) + model["log_a"][start]
+        seen = total(row[known], (model["count"][at[known]] > 0).astype(float))
+        posted = np.bincount(row[~known], minlength=len(rows)) + np.bincount(row[~common], minlength=len(rows)) + 1
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("held_out"), pa.array(keys(h, first)), pa.array(np.diff(first) + 1), pa.array(seen.astype(np.int64)), pa.array(total(row[known], model["log_base"][at[known]])), pa.array(own), pa.array(posted.astype(np.int64))],
+            ["doc_id", "held_out", "key", "n_tokens", "known", "base", "own", "posted"],
+        )
+
+
+def post(batches, parts: int, model: dict):
+    """kind 0: a text's pairs but the common ones, kind 1: its words but the common ones; equal texts once as far as remembered."""
+    last = np.arange(1, REMEMBERED + 1)  # no key that belongs there
     for batch in W.chunks(batches, CHUNK):
-        h, w, first, pair = tokens(batch.column("text"), vocab, ids)
+        h, first, v, w = tokens(batch.column("text"))
         key = keys(h, first)
+        _, at = np.unique(key, return_index=True)
+        at = at[last[key[at] % REMEMBERED] != key[at]]
+        last[key[at] % REMEMBERED] = key[at]
         take = np.zeros(len(key), bool)
-        for i, k in enumerate(key.tolist()):
-            if k not in done:
-                done.add(k)
-                take[i] = True
-        for kind, row, token, block in ((0, np.repeat(np.arange(len(key)), np.diff(first) + 1), pair, pair_parts), (1, np.repeat(np.arange(len(key)), np.diff(first)), h, lambda x, n: P.parts_of(W.mix(x), n))):
-            mine = take[row] & (~places(common, token)[0] if kind == 0 else w == RARE)
-            row, token = row[mine], token[mine]
-            yield from P.rows(kind, P.pack(block(token, parts), key[row], token))
+        take[at] = True
+        row = np.repeat(np.arange(len(key)), np.diff(first) + 1)
+        pair, mine = pair_hash(v, w), take[row]
+        rare = mine & ~places(model["pair"], pair & P.LOW48)[0]
+        yield from P.rows(0, P.pack(blocks(v[rare], pair[rare], model["hot"], parts), key[row[rare]], pair[rare] & P.LOW48))
+        rare = mine & ~places(model["word"], w)[0]
+        yield from P.rows(1, P.pack(P.parts_of(W.mix(w[rare]), parts), key[row[rare]], w[rare]))
         mine = key[take]
         yield from P.rows(0, P.pack(P.parts_of(mine.view(np.uint64), parts), mine, np.full(len(mine), PRESENT, np.uint64)))
 
 
-def gain(model: dict, pair: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """log P(w | h) - log a(h) - log P(w) of seen pairs."""
-    h, w = (pair >> np.uint64(24)).astype(np.int64), (pair & np.uint64((1 << 24) - 1)).astype(np.int64)
-    return np.log10(discounted(c, model["d"])) - model["log_c"][h] - model["log_a"][h] - model["log_p"][w]
-
-
 def look_up(batches, model: dict, parts: int):
-    """One block: for each text the sums over its seen pairs (kind 0) and its rare words (kind 1), packed by text."""
+    """One block: for each text how many pairs and words it asked for, how many words are known, and the sums of values and base scores."""
     blobs = P.gather(batches)
-    counts = {kind: merged(blobs.pop(kind, [])) for kind in (2, 3)}
-    for kind in (0, 1):
+    pair, gain = P.unpack_runs(blobs.pop(10, []), 0, ("6", "<f8"))
+    hot_pair, hot_gain, place = P.unpack_runs(blobs.pop(11, []), 0, ("6", "<f8", "<u2"))
+    pair, gain = np.concatenate([pair, hot_pair]), np.concatenate([gain, hot_gain - model["hot_off"][place]])
+    order = np.argsort(pair)
+    pair, gain = pair[order], gain[order]
+    word, count, log_a = P.unpack_runs(blobs.pop(12, []), 0, ("6", "<i8", "<f8"))
+    order = np.argsort(word)
+    word, count, log_a = word[order], count[order], log_a[order]
+    out: list[list[np.ndarray]] = [[], [], [], [], []]
+    for kind, table in ((0, pair), (1, word)):
         key, token = P.unpack(blobs.pop(kind, []))
         if not len(key):
             continue
-        order = np.lexsort((token, key))
-        key, token = key[order], token[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (token[1:] != token[:-1])
-        at = np.flatnonzero(new)
-        # a text that k tasks have sent has k times its repeats; its own count is told by `sent`
-        times = np.diff(np.append(at, len(key)))
-        key, token = key[at], token[at]
-        have, c = counts[3 - 1 if kind == 0 else 3]
-        place = np.minimum(np.searchsorted(have, token), max(len(have) - 1, 0))
-        seen = have[place] == token if len(have) else np.zeros(len(token), bool)
-        c = np.where(seen, c[place], 0) if len(have) else np.zeros(len(token), np.int64)
+        known, at = places(table, token)
+        value, base = np.zeros(len(key)), np.zeros(len(key))
         if kind == 0:
-            value = np.zeros(len(token))
-            value[seen] = gain(model, token[seen], c[seen])
+            value[known] = gain[at[known]]
         else:
-            value = np.log10((c + 0.5) / (model["N"] + 0.5 * (model["V"] + 1)))
+            c = np.where(known, count[at], 0) if len(count) else np.zeros(len(key), np.int64)
+            value, base = np.log10(unigram(c, model)), base_of(c, model)
+            value[known] += log_a[at[known]]
         text, at = np.unique(key, return_inverse=True)
-        n = np.bincount(at, times if kind == 0 else seen * times, len(text)).astype("<u4")
-        yield from P.rows(kind, packed_sums(P.parts_of(text.view(np.uint64), parts), text, n, np.bincount(at, value * times, len(text))))
+        for column, x in zip(out, (text, np.bincount(at), np.bincount(at, known * float(kind)), np.bincount(at, value), np.bincount(at, base)), strict=True):
+            column.append(x)
+    if out[0]:
+        key, sums = added(out)
+        yield from P.rows(5, P.pack_runs(P.parts_of(key.view(np.uint64), parts), [], [key, *sums], ("<i8", "<u4", "<u4", "<f8", "<f8")))
 
 
-def packed_sums(part: np.ndarray, key: np.ndarray, n: np.ndarray, value: np.ndarray):
-    order = np.argsort(part, kind="stable")
-    part, key, n, value = part[order], key[order].astype("<i8"), n[order], value[order].astype("<f8")
-    edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
-    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        yield int(part[a]), b"".join([np.array([b - a], "<u4").tobytes(), key[a:b].tobytes(), n[a:b].tobytes(), value[a:b].tobytes()])
+def added(columns: list[list[np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sums of the other columns for each value of the first."""
+    key, at = np.unique(np.concatenate(columns[0]), return_inverse=True)
+    return key, [np.bincount(at, np.concatenate(x), len(key)) for x in columns[1:]]
 
 
 def total(batches):
-    """All blocks' sums of each text: pairs and their sum, known rare words and all rare words' sum."""
-    key, values = {}, {}
-    for kind, blobs in P.gather(batches).items():
-        got: list[list[np.ndarray]] = [[], [], []]
-        for blob in blobs:
-            k = int(np.frombuffer(blob, "<u4", 1)[0])
-            for column, (kind_of, at) in zip(got, (("<i8", 4), ("<u4", 4 + 8 * k), ("<f8", 4 + 12 * k)), strict=True):
-                column.append(np.frombuffer(blob, kind_of, k, at))
-        key[kind], at = np.unique(np.concatenate(got[0]), return_inverse=True)
-        values[kind] = [np.bincount(at, np.concatenate(x), len(key[kind])) for x in got[1:]]
-    if 0 in key:
-        known, base = np.zeros(len(key[0])), np.zeros(len(key[0]))
-        if 1 in key:
-            at = np.searchsorted(key[0], key[1])  # every text has pairs
-            known[at], base[at] = values[1]
-        yield pa.RecordBatch.from_arrays([pa.array(key[0]), *[pa.array(x) for x in (*values[0], known, base)]], ["key", "n", "s_seen", "s_known", "s_base"])
-
-
-def fit(train: DataFrame, scratch: Scratch, vocabulary: int = VOCABULARY) -> tuple[dict, DataFrame]:
-    """The model's broadcast part, and the table of word (kind 3) and pair (kind 2) counts."""
-    parts, train = P.shuffle_parts(train), train.select("text")
-    block = "kind int, token long, c long"
-    words = scratch.save(P.dealt(train.mapInArrow(lambda it: count_words(it, parts), P.SCHEMA), parts).mapInArrow(sum_counts, block).select(F.lit(3).alias("kind"), "token", "c"), sorted_numbers=True)
-    rows = train.count()
-    histogram = sorted((r[0], r[1]) for r in words.groupBy("c").count().collect())  # distinct counts: at most sqrt(2 N)
-    N = sum(c * n for c, n in histogram) + rows
-    V = sum(n for _, n in histogram) + (rows > 0)
-    least, kept = 1, sum(n for _, n in histogram)
-    for c, n in histogram:
-        if kept <= vocabulary:
-            break
-        kept, least = kept - n, c + 1
-    chosen = words.where(F.col("c") >= least).select("token", "c").toArrow() if kept else None  # at most `vocabulary` rows
-    token, c = (np.asarray(chosen.column(0)).view(np.uint64), np.asarray(chosen.column(1))) if kept else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    order = np.lexsort((token, -c))
-    ids, by_id = np.empty(len(c), np.uint64), np.concatenate([[0, rows, 0], c[order]]).astype(np.int64)
-    ids[order] = np.arange(FIRST, FIRST + len(c), dtype=np.uint64)
-    order = np.argsort(token)
-    vocab, ids = token[order], ids[order]
-    r = dict(histogram)
-    r[rows] = r.get(rows, 0) + (rows > 0)
-    d1 = discounts([0.0, *[float(r.get(x, 0)) for x in range(1, CUTOFF + 2)]])
-    share = discounted(by_id, d1) / max(N, 1)
-    if sum(r.get(x, 0) for x in range(1, CUTOFF + 1)) == 0:
-        share = by_id / (N + 1.0)
-    share[RARE] = max(1.0 - share[END:].sum(), 1e-300)
-    model = {"vocab": vocab, "ids": ids, "N": N, "V": V, "log_p": np.log10(np.maximum(share, 1e-300)), "log_rare": -math.log10(V - (rows > 0) - kept + 1), "end_known": int(rows > 0)}
-    model["log_base"] = np.log10((by_id + 0.5) / (N + 0.5 * (V + 1)))
-    lexicon = train.sparkSession.sparkContext.broadcast((vocab, ids))
-    posted = train.mapInArrow(lambda it: count_pairs(it, parts, *lexicon.value), P.SCHEMA)
-    pairs = scratch.save(P.dealt(posted, parts).mapInArrow(sum_counts, block), sorted_numbers=True)
-    scratch.sweep()
-    n2 = {x[0]: x[1] for x in pairs.where(F.col("c") <= CUTOFF + 1).groupBy("c").count().collect()}
-    model["d"] = d = discounts([0.0, *[float(n2.get(x, 0)) for x in range(1, CUTOFF + 2)]])
-    log_p = model["log_p"]
-    sums = pairs.mapInArrow(lambda it: left_over(it, d, log_p), "h long, c double, dc double, p double").groupBy("h").agg(F.sum("c").alias("c"), F.sum("dc").alias("dc"), F.sum("p").alias("p")).toArrow()  # a row for each id
-    h, c, dc, p = (np.asarray(sums.column(i)) for i in range(4))
-    full = np.where(c - dc > 1e-9 * c, c, c + 1)  # nothing was discounted: leave one count's worth over
-    log_a, log_c = np.zeros(len(log_p)), np.zeros(len(log_p))
-    log_a[h] = np.log10((1 - dc / full) / np.maximum(1 - p, 1e-12))
-    log_c[h] = np.log10(full)
-    model |= {"log_a": log_a, "log_c": log_c}
-    common = pairs.where(F.col("c") >= max(COMMON_LEAST, N * COMMON_SHARE)).select("token", "c").toArrow()
-    token, c = np.asarray(common.column(0)).view(np.uint64), np.asarray(common.column(1))
-    order = np.argsort(token)
-    model |= {"common": token[order], "common_value": gain(model, token[order], c[order])}
-    return model, words.union(pairs)
-
-
-def score(df: DataFrame, train: Column, key: str = "doc_id", vocabulary: int = VOCABULARY) -> DataFrame:
+    """All blocks' sums of each text."""
+    got = P.unpack_runs(P.gather(batches).pop(5, []), 0, ("<i8", "<u4", "<u4", "<f8", "<f8"))
+    if len(got[0]):
+        key, sums = added([[x] for x in got])
+        yield pa.RecordBatch.from_arrays([pa.array(key), *[pa.array(x) for x in sums]], ["key", "n", "s_known", "s_value", "s_base"])
+
+
+def score(df: DataFrame, train: Column, key: str = "doc_id") -> DataFrame:
     """Per row of ``df`` (key, text): held_out, n_tokens, n_known, train_tokens, base_score, score."""
     scratch, parts, spark = Scratch(df.sparkSession, "katz"), P.shuffle_parts(df), df.sparkSession
     df = df.select(F.col(key).alias("doc_id"), (~train).alias("held_out"), "text")
-    model, tables = fit(df.where(~F.col("held_out")), scratch, vocabulary)
+    model, table = fit(df.where(~F.col("held_out")), scratch)
     shared = spark.sparkContext.broadcast(model)
     schema = f"doc_id {df.schema['doc_id'].dataType.simpleString()}, held_out boolean, key long, n_tokens long, known long, base double, own double, posted long"
     rows = df.mapInArrow(lambda it: read(it, shared.value), schema)
-    posted = df.select("text").mapInArrow(lambda it: post(it, parts, shared.value["vocab"], shared.value["ids"], shared.value["common"]), P.SCHEMA)
-    posted = posted.union(tables.mapInArrow(lambda it: packed(it, parts), P.SCHEMA))
+    posted = df.select("text").mapInArrow(lambda it: post(it, parts, shared.value), P.SCHEMA).union(table)
     found = P.dealt(posted, parts).mapInArrow(lambda it: look_up(it, shared.value, parts), P.SCHEMA)
-    sums = scratch.save(P.dealt(found, parts).mapInArrow(total, "key long, n double, s_seen double, s_known double, s_base double"))
+    sums = scratch.save(P.dealt(found, parts).mapInArrow(total, "key long, n double, s_known double, s_value double, s_base double"))
     scratch.sweep()
-    # a text sent by k tasks has k times its entries here: k is told by their number, and divides all sums
+    # a text sent k times has k times its entries here: k is told by their number, and divides all sums
     k = F.col("n") / F.col("posted")
     return rows.join(sums, "key").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.round(F.col("s_known") / k)).cast("long").alias("n_known"), F.lit(model["N"]).cast("long").alias("train_tokens"), (F.col("base") + F.col("s_base") / k).alias("base_score"), (F.col("own") + F.col("s_seen") / k).alias("score")
+        "doc_id", "held_out", "n_tokens", (F.col("known") + F.round(F.col("s_known") / k)).cast("long").alias("n_known"), F.lit(model["N"]).cast("long").alias("train_tokens"), (F.col("base") + F.col("s_base") / k).alias("base_score"), (F.col("own") + F.col("s_value") / k).alias("score")
     )
 
 
-def packed(batches, parts: int):
-    for batch in batches:
-        token, c, kind = np.asarray(batch.column("token")).view(np.uint64), np.asarray(batch.column("c")), np.asarray(batch.column("kind"))
-        for k in (2, 3):
-            mine = kind == k
-            part = pair_parts(token[mine], parts) if k == 2 else P.parts_of(W.mix(token[mine]), parts)
-            yield from P.rows(k, P.pack(part, np.zeros(int(mine.sum()), np.int64), token[mine], np.minimum(c[mine], (1 << 32) - 1)))
-
-
 def op9(docs: DataFrame) -> DataFrame:
     """Scores of all ``documents``, learned from four fifths of them."""
     train = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1, F.lit(True))
