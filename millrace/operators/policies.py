@@ -71,9 +71,18 @@ def limited(limit: int, classifier: Classifier | None = None) -> SkipPolicy:
 
 @dataclass(frozen=True)
 class RetryPolicy:
-    """So many calls at most before a failure stands."""
+    """So many calls at most before a failure stands; errors that ``classifier`` (None: all) does not name stand at once."""
 
     attempts: int = 1
+    classifier: Classifier | None = None
+
+    def __post_init__(self) -> None:
+        if self.attempts < 1:
+            raise ValueError("one call at least")
+
+    def again(self, error: BaseException, made: int) -> bool:
+        """Whether another call follows the ``made``-th, which failed."""
+        return made < self.attempts and (self.classifier is None or self.classifier.is_retryable(error))
 
     def made(self, needed: Column) -> Column:
         """Calls made for an item that succeeds at call ``needed``."""
@@ -114,4 +123,4 @@ def apply_policy(rows: DataFrame, policy: SkipPolicy) -> Outcome:
     """``rows`` have ``_seq`` and ``_err``; filtered rows are gone already."""
     stop = abort_position(rows, policy)
     kept = rows if stop is None else rows.where(F.col("_seq") < stop)
-    return Outcome(kept.where("_err is null").drop("_err"), kept.where("_err is not null"), stop)
+    return Outcome(kept.where("_err is null").drop("_err", "_item"), kept.where("_err is not null"), stop)

@@ -7,8 +7,10 @@ function maps to None is gone.
 
 from __future__ import annotations
 
+import json
 import traceback
 from collections.abc import Callable, Iterable, Sequence
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from millrace.operators.policies import RetryPolicy
+
 #: types: the error's class and its bases by name, so that a policy can match subclasses.
 ERROR = T.StructType([T.StructField("types", T.ArrayType(T.StringType())), T.StructField("message", T.StringType()), T.StructField("stack", T.StringType()), T.StructField("attempts", T.IntegerType())])
 
@@ -26,6 +30,10 @@ class Processor:
     def apply(self, df: DataFrame) -> DataFrame:
         raise NotImplementedError
 
+    def with_retry(self, policy: RetryPolicy) -> Processor:
+        """The same with a step's retry policy; column expressions have nothing to repeat."""
+        return self
+
 
 class Identity(Processor):
     def apply(self, df: DataFrame) -> DataFrame:
@@ -82,6 +90,9 @@ class Composite(Processor):
             df = p.apply(df)
         return df
 
+    def with_retry(self, policy: RetryPolicy) -> Composite:
+        return Composite([p.with_retry(policy) for p in self.parts])
+
 
 class Chain(Composite):
     """Two processors of different item types."""
@@ -93,16 +104,19 @@ class Chain(Composite):
 class PythonMap(Processor):
     """A Python function from a dict of a row's columns to a dict of ``schema``'s columns, or None.
 
-    ``attempts`` calls are made before a failure stands. Failed rows keep ``_seq``, their input as
-    JSON in ``_item`` and the last attempt's error in ``_err``.
+    ``attempts`` calls, or those of a retry policy, are made before a failure stands. Failed rows keep ``_seq``, their
+    input as JSON in ``_item`` and the last attempt's error in ``_err``.
     """
 
-    def __init__(self, function: Callable[[dict], dict | None], schema: str | T.StructType, attempts: int = 1):
-        self.function, self.schema, self.attempts = function, schema, attempts
+    def __init__(self, function: Callable[[dict], dict | None], schema: str | T.StructType, attempts: int | RetryPolicy = 1):
+        self.function, self.schema, self.retry = function, schema, attempts if isinstance(attempts, RetryPolicy) else RetryPolicy(attempts)
+
+    def with_retry(self, policy: RetryPolicy) -> PythonMap:
+        return PythonMap(self.function, self.schema, policy)
 
     def apply(self, df: DataFrame) -> DataFrame:
         kind = self.schema if isinstance(self.schema, T.StructType) else T._parse_datatype_string(self.schema)
-        has_seq, function, attempts = "_seq" in df.columns, self.function, self.attempts
+        has_seq, function, retry = "_seq" in df.columns, self.function, self.retry
         had_err = "_err" in df.columns
         own = [c for c in df.columns if c not in ("_seq", "_err", "_item")]
         out = T.StructType(([T.StructField("_seq", T.LongType())] if has_seq else []) + list(kind.fields) + [T.StructField("_item", T.StringType()), T.StructField("_err", ERROR)])
@@ -114,19 +128,42 @@ class PythonMap(Processor):
             for batch in batches:
                 rows = []
                 for item in batch.to_pylist():
-                    seq, before, item_json = item.pop("_seq", None), item.pop("_err", None) if had_err else None, item.pop("__json")
+                    seq, before = item.pop("_seq", None), item.pop("_err", None) if had_err else None
                     result, err = None, before
-                    for n in range(1, attempts + 1) if err is None else ():
+                    for n in range(1, retry.attempts + 1) if err is None else ():
                         try:
                             result, err = function(dict(item)), None
                             break
                         except Exception as e:  # the policy decides
                             err = {"types": [c.__name__ for c in type(e).__mro__[:-1]], "message": str(e), "stack": traceback.format_exc(), "attempts": n}
+                            if not retry.again(e, n):
+                                break
                     if result is None and err is None:
                         continue
-                    row = {"_seq": seq, **{c: (result or {}).get(c) for c in names}, "_item": item_json if err is not None else None, "_err": err}
+                    row = {"_seq": seq, **{c: (result or {}).get(c) for c in names}, "_item": as_json(item) if err is not None else None, "_err": err}
                     rows.append({f: row[f] for f in arrow.names})
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
         carried = [c for c in ("_seq", "_err") if c in df.columns]
-        return df.select(*carried, *own, F.to_json(F.struct(*own), {"ignoreNullFields": "false"}).alias("__json")).mapInArrow(run, out)
+        return df.select(*carried, *own).mapInArrow(run, out)
+
+
+def as_json(item: dict) -> str:
+    """A row as JSON, for dead letters; numbers stay numbers."""
+    plain = lambda v: float(v) if isinstance(v, Decimal) else v.hex() if isinstance(v, bytes) else str(v)
+    return json.dumps(item, default=plain, ensure_ascii=False, separators=(",", ":"))
+
+
+class ArrowMap(Processor):
+    """A function from an Arrow record batch of the input's columns to one of ``schema``'s: vectorised, and all or nothing (an error fails the step).
+
+    The function keeps ``_seq`` and drops rows as it likes.
+    """
+
+    def __init__(self, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType):
+        self.function, self.schema = function, schema
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        function, kind = self.function, self.schema if isinstance(self.schema, T.StructType) else T._parse_datatype_string(self.schema)
+        arrow = to_arrow_schema(kind)
+        return df.mapInArrow(lambda batches: (function(b).cast(arrow) for b in batches), kind)

@@ -13,17 +13,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import scalars as S
-from millrace.model import Context, Parameters
+from millrace.model import Context, JobExecution, Parameters, Status, StepExecution
 from millrace.operators import policies as P
 from millrace.operators.deadletter import dead_letters
 from millrace.operators.processing import Checked, Chain, Composite, Identity, Project, PythonMap, Transform
-from millrace.operators.ranges import RangePartitioner, bounds_frame, folded_status, range_of
+from millrace.operators.ranges import bounds_frame, folded_status, range_of
 from millrace.operators.sequence import chunk_sizes, chunked, numbered, size_histogram
 from millrace.plans import repository as R
-from millrace.plans.jobs import Action, Rule, Transitions
-from millrace.plans.steps import Repeat, TaskletStep
+from millrace.plans.jobs import Action, FlowBuilder, JobBuilder, exit_status
+from millrace.plans.steps import ChunkListener, Repeat, Step, StepBuilder, Stop, TaskletStep
 from millrace.plans.workspace import folder
-from millrace.sinks.files import ParquetSink
+from millrace.sinks.files import JsonArraySink, ParquetSink
 from millrace.sinks.others import CompositeSink
 from millrace.sources.files import JsonArraySource, LineSource, XmlSource
 from millrace.sources.http import HttpSource
@@ -77,9 +77,29 @@ def chunk_composite_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunked(rows, rows.columns, 5000, "chunk").groupBy("chunk").agg(F.count("*").alias("n"), F.min("l_orderkey").alias("first_key"), F.max("l_orderkey").alias("last_key"))
 
 
+def ran(*steps: Step, wanted: Status = Status.COMPLETED) -> JobExecution:
+    """A job of these steps, run; the queries rest on its end."""
+    builder = JobBuilder("query", steps[0].repository)
+    for s in steps:
+        builder.step(s)
+    execution = builder.build().execute()
+    if execution.status != wanted:
+        raise RuntimeError(f"{execution.status}: {execution.failure_message}")
+    return execution
+
+
 @query("SELECT n, count(*) AS chunks FROM (SELECT count(*) AS n FROM (SELECT (row_number() OVER (ORDER BY event_id) - 1) // 300 AS c FROM events WHERE event_type <> 'click') GROUP BY c) GROUP BY n")
 def concurrent_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return size_histogram(table(spark, sf_dir, "events").where("event_type <> 'click'").repartition(4), 300)
+    """Sizes of the chunks that a step of four parallel tasks has written."""
+    path = folder(spark, "concurrent")
+    source = FrameSource(table(spark, sf_dir, "events").select("event_id", "event_type"), ["event_id"])
+    ran(StepBuilder().source(source).processor(Project(F.col("event_type") != "click")).sink(ParquetSink(path)).chunk_size(300).chunks_per_commit(16).parallelism(4).build("copy"))
+    return spark.read.parquet(path).groupBy("_chunk").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("chunks"))
+
+
+@query("SELECT n, count(*) AS chunks FROM (SELECT count(*) AS n FROM (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 700 AS c FROM orders) GROUP BY c) GROUP BY n")
+def chunk_size_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return size_histogram(table(spark, sf_dir, "orders"), 700)
 
 
 # processors
@@ -87,8 +107,8 @@ def concurrent_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey, c_name, CAST(c_acctbal AS DECIMAL(18,2)) AS balance FROM customer WHERE c_acctbal > 0")
 def filter_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = F.when(F.col("c_acctbal") > 0, F.col("c_acctbal"))
-    return table(spark, sf_dir, "customer").withColumn("kept", kept).where("kept is not null").select("c_custkey", "c_name", F.col("kept").cast(MONEY).alias("balance"))
+    mapped = Project(c_custkey=F.col("c_custkey"), c_name=F.col("c_name"), balance=F.when(F.col("c_acctbal") > 0, F.col("c_acctbal").cast(MONEY)))
+    return Composite([mapped, Project(F.col("balance").isNotNull())]).apply(table(spark, sf_dir, "customer"))
 
 
 @query("""SELECT c_custkey, upper(c_mktsegment) || '-p1-p2-p3' AS segment, CAST(c_acctbal AS DECIMAL(18,2)) AS balance FROM customer
@@ -124,10 +144,18 @@ _PARSED = f"(SELECT event_id, {_BAD} AS raw, TRY_CAST({_BAD} AS DECIMAL(18,2)) A
 
 
 def events_with_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsed().apply(raw_events(spark, sf_dir).withColumn("_seq", F.col("event_id")))
+
+
+def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.col("event_id") % 50
     raw = F.when(at == 7, "N/A").when(at == 31, "").otherwise(F.col("value").cast(MONEY).cast("string"))
-    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("_seq"), "event_id", raw.alias("raw")).withColumn("amount", S.parse_decimal(F.col("raw")))
-    return Composite([Checked((F.col("amount").isNull()) & (F.col("raw") == ""), "EmptyValue", F.lit("empty"), ("ValueError", "Exception")), Checked(F.col("amount").isNull(), "BadFormat", F.concat(F.lit("not a number: "), F.col("raw")), ("ValueError", "Exception"))]).apply(rows)
+    return table(spark, sf_dir, "events").select("event_id", raw.alias("raw"))
+
+
+def parsed() -> Composite:
+    amount = Transform(lambda df: df.withColumn("amount", S.parse_decimal(F.col("raw"))))
+    return Composite([amount, Checked((F.col("amount").isNull()) & (F.col("raw") == ""), "EmptyValue", F.lit("empty"), ("ValueError", "Exception")), Checked(F.col("amount").isNull(), "BadFormat", F.concat(F.lit("not a number: "), F.col("raw")), ("ValueError", "Exception"))])
 
 
 @query(f"SELECT event_id, amount FROM {_PARSED} WHERE amount IS NOT NULL")
@@ -154,8 +182,25 @@ def dead_letter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_id, CAST(least(event_id % 5 + 1, 3) AS INTEGER) AS attempts, CASE WHEN event_id % 5 + 1 <= 3 THEN 'written' ELSE 'skipped' END AS outcome FROM events""")
 def retry_then_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    retry, needed = P.RetryPolicy(3), F.col("event_id") % 5 + 1
-    return table(spark, sf_dir, "events").select("event_id", retry.made(needed).cast("int").alias("attempts"), F.when(retry.succeeds(needed), "written").otherwise("skipped").alias("outcome"))
+    """A step whose function answers at the first to fifth call, with three calls at most; who fails is skipped."""
+    calls: dict[int, int] = {}
+
+    def flaky(row: dict) -> dict:
+        n = calls[row["event_id"]] = calls.get(row["event_id"], 0) + 1
+        if n <= row["event_id"] % 5:
+            raise ConnectionResetError("no answer")
+        return {"event_id": row["event_id"], "attempts": n}
+
+    class Skipped(ChunkListener):
+        def on_skip(self, step: StepExecution, skipped: DataFrame, before: int) -> None:
+            skipped.select(F.get_json_object("_item", "$.event_id").cast("long").alias("event_id"), F.col("_err.attempts").alias("attempts")).write.mode("append").parquet(lost)
+
+    kept, lost = folder(spark, "retried"), folder(spark, "lost")
+    source = FrameSource(table(spark, sf_dir, "events").select("event_id"), ["event_id"])
+    policy = P.RetryPolicy(3, P.Classifier().retry(ConnectionError))
+    ran(StepBuilder().source(source).processor(PythonMap(flaky, "event_id long, attempts int")).retry_policy(policy).skip_policy(P.ALWAYS).listener(Skipped()).sink(ParquetSink(kept)).chunk_size(100).chunks_per_commit(1 << 30).build("call"))
+    outcome = lambda path, name: spark.read.parquet(path).select("event_id", "attempts", F.lit(name).alias("outcome"))
+    return outcome(kept, "written").union(outcome(lost, "skipped"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 4 = 3 THEN 'TimeoutError' END AS error, CAST(CASE WHEN event_id % 4 = 3 THEN 2 END AS INTEGER) AS attempts FROM events WHERE event_id % 4 <> 1")
@@ -176,11 +221,13 @@ def python_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
   CAST(sum(CASE WHEN NOT filtered AND amount IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS skip_count,
   CAST(ceil(sum(CASE WHEN NOT filtered AND amount IS NOT NULL THEN 1 ELSE 0 END) / 100.0) AS BIGINT) AS chunks FROM r""")
 def step_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = events_with_errors(spark, sf_dir)
-    gone, bad = F.col("event_id") % 10 == 0, F.col("_err").isNotNull()
-    n = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
-    counts = rows.agg(F.count("*").alias("read_count"), n(gone).alias("filtered_count"), n(~gone & ~bad).alias("write_count"), n(~gone & bad).alias("skip_count"))
-    return counts.withColumn("chunks", F.ceil(F.col("write_count") / 100).cast("long"))
+    """The counters that a step leaves in the repository."""
+    path, repository = folder(spark, "counted"), R.Repository()
+    step = StepBuilder(repository).source(FrameSource(raw_events(spark, sf_dir), ["event_id"])).processor(Project(F.col("event_id") % 10 != 0), parsed())
+    done = ran(step.skip_policy(P.ALWAYS).sink(ParquetSink(path)).chunk_size(100).chunks_per_commit(50).build("parse"))
+    s = repository.last_step_execution(done.id, "parse")
+    chunks = spark.read.parquet(path).select("_chunk").distinct().count()
+    return spark.createDataFrame([(s.read_count, s.read_count - s.write_count - s.skip_count, s.write_count, s.skip_count, chunks)], "read_count long, filtered_count long, write_count long, skip_count long, chunks long")
 
 
 # file sources: the tables are written as files first
@@ -251,6 +298,22 @@ def xml_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source.open(context).withColumnRenamed("_seq", "pos")
 
 
+_XML_FILES = "SELECT CAST(row_number() OVER (ORDER BY n_regionkey, n_nationkey) AS BIGINT) AS pos, n_nationkey AS id, n_name AS name FROM nation"
+
+
+@query(f"SELECT * FROM ({_XML_FILES}) WHERE pos > 7")
+def xml_files_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each region, read as one source; it goes on inside the second file."""
+    path = folder(spark, "xml-files")
+    nation = F.concat(F.lit('<nation id="'), F.col("n_nationkey").cast("string"), F.lit('"><name>'), "n_name", F.lit("</name></nation>"))
+    files = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", nation.alias("x")))), lambda s: s["x"]), "").alias("x"))
+    for r in table(spark, sf_dir, "region").select("r_regionkey").orderBy("r_regionkey").collect():  # five regions
+        files.where(F.col("n_regionkey") == r[0]).select(F.concat(F.lit("<world>"), "x", F.lit("</world>"))).coalesce(1).write.text(f"{path}/{r[0]}")
+    source, context = XmlSource(spark, f"{path}/*/part-*", "nation", "id int, name string"), Context()
+    source.save(context, 7)
+    return source.open(context).withColumnRenamed("_seq", "pos")
+
+
 # relational and HTTP sources
 
 
@@ -334,9 +397,8 @@ def fanout_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark, "json-out")
-    rows = table(spark, sf_dir, "nation")
-    whole = rows.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name", "n_regionkey"))), lambda x: x)).alias("v"))
-    whole.write.text(path)
+    step = StepBuilder().source(FrameSource(table(spark, sf_dir, "nation"), ["n_nationkey"])).sink(JsonArraySink(path.removeprefix("file://"))).chunk_size(4)
+    ran(step.build("copy"))
     return JsonArraySource(spark, path, "n_nationkey int, n_name string, n_regionkey int").open().drop("_seq")
 
 
@@ -373,9 +435,9 @@ def range_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.groupBy(part.alias("partition")).agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast(MONEY)).cast(MONEY).alias("amount"))
 
 
-@query("SELECT o_orderkey, sqrt(o_orderkey) AS root FROM orders WHERE o_orderkey BETWEEN 200 AND 799")
+@query("SELECT o_orderkey, sqrt(o_orderkey) AS root FROM orders")
 def range_read_worker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = RangePartitioner(200, 799).bounds(3)
+    parts = range_of(table(spark, sf_dir, "orders"), "o_orderkey").bounds(3)
     frames = [range_read(table(spark, sf_dir, "orders"), "o_orderkey", low, high).select("o_orderkey", F.sqrt("o_orderkey").alias("root")) for _, low, high in parts]
     return frames[0].union(frames[1]).union(frames[2])
 
@@ -388,23 +450,44 @@ def partition_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 # stop and restart
 
 
-@query("""SELECT o_orderkey, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 100 AS BIGINT) AS chunk FROM orders WHERE o_orderkey <= 1234 AND o_totalprice > 50000""")
+@query("""WITH s AS (SELECT o_orderkey, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 100 AS BIGINT) AS chunk FROM orders WHERE o_totalprice > 50000),
+  n AS (SELECT (count(*) + 99) // 100 AS chunks FROM s) SELECT o_orderkey, chunk FROM s, n WHERE chunk < greatest((chunks // 3 + 4) // 5, 1) * 5""")
 def graceful_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").where("o_orderkey <= 1234 and o_totalprice > 50000")  # read until the stop was seen
-    return chunked(rows.select("o_orderkey"), ["o_orderkey"], 100, "chunk")
+    """What a step has written that is asked to stop when a third of its chunks are: whole groups of five chunks."""
+    rows, path, stop = table(spark, sf_dir, "orders").where("o_totalprice > 50000").select("o_orderkey"), folder(spark, "stopped"), Stop()
+    third = -(-rows.count() // 100) // 3
+
+    class Asks(ChunkListener):
+        def after_chunk(self, step: StepExecution, chunk: int) -> None:
+            if chunk + 5 >= third:
+                stop.request()
+
+    step = StepBuilder().source(FrameSource(rows, ["o_orderkey"])).sink(ParquetSink(path)).chunk_size(100).chunks_per_commit(5).listener(Asks()).graceful_stop(stop).build("copy")
+    ran(step, wanted=Status.STOPPED)
+    return spark.read.parquet(path).select("o_orderkey", F.col("_chunk").alias("chunk"))
 
 
 @query("""WITH s AS (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 100 AS chunk FROM orders WHERE o_totalprice > 50000)
   SELECT CASE WHEN chunk < 6 THEN 1 ELSE 2 END AS run, o_orderkey FROM s""")
 def restart_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").where("o_totalprice > 50000").select("o_orderkey")
-    first = chunked(rows, ["o_orderkey"], 100).where("_chunk < 6").select("o_orderkey")  # the seventh chunk failed
-    last = first.agg(F.max("o_orderkey")).first()[0]
-    context = Context()
+    """A job whose sink fails at the seventh chunk, and its restart, which goes on behind the last commit."""
+    rows, paths, repository = table(spark, sf_dir, "orders").where("o_totalprice > 50000").select("o_orderkey"), [folder(spark, f"run{i}") for i in (1, 2)], R.Repository()
+
+    class Fails(ParquetSink):
+        def prepare(self, rows: DataFrame, step: str) -> Callable[[int | None], None]:
+            commit = super().prepare(rows, step)
+
+            def checked(first_chunk: int | None) -> None:
+                if first_chunk == 6:
+                    raise OSError("disk full")
+                commit(first_chunk)
+
+            return checked
+
     source = KeysetSource(rows, "o_orderkey")
-    if last is not None:
-        source.save(context, last)
-    return first.select(F.lit(1).alias("run"), "o_orderkey").union(source.open(context).select(F.lit(2), "o_orderkey"))
+    ran(StepBuilder(repository).source(source).sink(Fails(paths[0])).chunk_size(100).chunks_per_commit(6).build("copy"), wanted=Status.FAILED)
+    ran(StepBuilder(repository).source(source).sink(ParquetSink(paths[1])).chunk_size(100).chunks_per_commit(1 << 30).build("copy"))
+    return spark.read.parquet(paths[0]).select(F.lit(1).alias("run"), "o_orderkey").union(spark.read.parquet(paths[1]).select(F.lit(2), "o_orderkey"))
 
 
 # flows
@@ -413,33 +496,30 @@ RULES = [("load", "COMPLETED", "to", "check"), ("load", "*", "to", "repair"), ("
 _RULES = "(VALUES " + ", ".join(f"({i}, '{a}', '{b}', '{c}', {'NULL' if d is None else repr(d)})" for i, (a, b, c, d) in enumerate(RULES)) + ") AS t(ord, step, on_status, action, next)"
 
 
-def rules_frame(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(RULES)], "ord int, step string, on_status string, action string, next string")
+def flow() -> tuple[FlowBuilder, dict[str, TaskletStep]]:
+    """A builder that has got the rules, and its steps."""
+    repository = R.Repository()
+    steps = {name: TaskletStep(repository, name, lambda _: Repeat.FINISHED) for name in dict.fromkeys(r[0] for r in RULES)}
+    builder = FlowBuilder("flow", repository).start(steps["load"])
+    for step, on, action, to in RULES:
+        at = builder.from_(steps[step]).on(on)
+        at.to(steps[to]) if action == "to" else {"end": at.end, "fail": at.fail, "stop": at.stop}[action]()
+    return builder, steps
 
 
 @query(f"WITH RECURSIVE rules AS (SELECT * FROM {_RULES}), r(step) AS (SELECT 'load' UNION SELECT rules.next FROM r JOIN rules USING (step) WHERE rules.next IS NOT NULL) SELECT step FROM r")
 def flow_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flow: dict[str, Transitions] = {}
-    for step, on, action, to in RULES:
-        flow.setdefault(step, Transitions()).rules.append(Rule(on, Action.CONTINUE if action == "to" else Action.END, to))  # type: ignore[arg-type]
-    reached, todo = set(), ["load"]
-    while todo:
-        step = todo.pop()
-        if step not in reached:
-            reached.add(step)
-            todo += [r.to for r in flow[step].rules if r.to is not None]  # type: ignore[misc]
-    return spark.createDataFrame([(s,) for s in sorted(reached)], "step string")
+    return spark.createDataFrame([(s.name,) for s in flow()[0].reachable()], "step string")
 
 
 @query(f"""WITH rules AS (SELECT * FROM {_RULES}), s AS (SELECT * FROM (SELECT DISTINCT step FROM rules), (VALUES ('COMPLETED'), ('FAILED'), ('STOPPED')) AS v(status))
   SELECT s.step, s.status, rules.action, rules.next FROM s JOIN rules ON rules.step = s.step AND rules.on_status IN (s.status, '*')
   QUALIFY row_number() OVER (PARTITION BY s.step, s.status ORDER BY CASE WHEN on_status = '*' THEN 1 ELSE 0 END, ord) = 1""")
 def flow_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = rules_frame(spark)
-    asked = rules.select(F.col("step").alias("s")).distinct().withColumn("status", F.explode(F.array(*[F.lit(x) for x in ("COMPLETED", "FAILED", "STOPPED")])))
-    hits = asked.join(rules, (F.col("s") == F.col("step")) & ((F.col("on_status") == F.col("status")) | (F.col("on_status") == "*")))
-    best = hits.groupBy("step", "status").agg(F.min_by(F.struct("action", "next"), F.struct((F.col("on_status") == "*").cast("int"), "ord")).alias("r"))
-    return best.select("step", "status", "r.action", "r.next")
+    builder, steps = flow()
+    named = {Action.CONTINUE: "to", Action.END: "end", Action.FAIL: "fail", Action.STOP: "stop"}
+    found = [(name, on, builder.transitions(step).match(on)) for name, step in steps.items() for on in (exit_status(s) for s in (Status.COMPLETED, Status.FAILED, Status.STOPPED))]
+    return spark.createDataFrame([(name, on, named[r.action], r.to.name if r.to is not None else None) for name, on, r in found if r is not None], "step string, status string, action string, next string")
 
 
 # the repository's lookups, with orders as executions of customers' jobs
@@ -488,10 +568,10 @@ def executions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice) AS id, 'step' || l_linenumber AS step_name,
   CASE l_linestatus WHEN 'F' THEN 'Failed' ELSE 'Completed' END AS status, CAST(l_quantity AS BIGINT) AS read_count, CAST(l_quantity AS BIGINT) - 1 AS write_count, CAST(1 AS BIGINT) AS skip_count, CAST(0 AS BIGINT) AS rollback_count, '-' AS duration
-  FROM lineitem WHERE l_orderkey = 5""")
+  FROM lineitem QUALIFY l_orderkey = 5""")
 def steps_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"]
-    lines = numbered(table(spark, sf_dir, "lineitem").where("l_orderkey = 5"), order, "at")
+    lines = numbered(table(spark, sf_dir, "lineitem"), order, "at")
     quantity = F.col("l_quantity").cast("long")
     steps = lines.select((F.col("at") + 1).alias("id"), F.concat(F.lit("step"), F.col("l_linenumber").cast("string")).alias("step_name"), F.when(F.col("l_linestatus") == "F", "Failed").otherwise("Completed").alias("status"), quantity.alias("read_count"), (quantity - 1).alias("write_count"), F.lit(1).cast("long").alias("skip_count"), F.lit(0).cast("long").alias("rollback_count"), F.col("l_shipdate").alias("start_time"), F.lit(None).cast("timestamp").alias("end_time"), F.col("l_orderkey").alias("job_execution_id"))
     return R.steps_view(steps, 5)

@@ -204,6 +204,19 @@ class FlowBuilder:
     def stop(self) -> FlowBuilder:
         return self._rule(Action.STOP)
 
+    def transitions(self, step: Step) -> Transitions:
+        return self._rules[step]
+
+    def reachable(self) -> set[Step]:
+        """Steps that a path of transitions leads to from the start."""
+        reached, todo = set(), [self._start]
+        while todo:
+            step = todo.pop()
+            if step not in reached:
+                reached.add(step)
+                todo += [r.to for r in self._rules[step].rules if r.to is not None]
+        return reached
+
     def build(self, stop: Stop | None = None, most: int | None = None) -> FlowJob:
         if self._start is None:
             raise FlowError("a flow needs a start")
@@ -213,15 +226,8 @@ class FlowBuilder:
             for r in t.rules:
                 if r.to is not None and r.to not in self._rules:
                     raise FlowError(f"{r.to.name} has no transitions")
-        reached, ends, todo = set(), False, [self._start]
-        while todo:
-            step = todo.pop()
-            if step in reached:
-                continue
-            reached.add(step)
-            for r in self._rules[step].rules:
-                ends |= r.to is None
-                todo += [r.to] if r.to is not None else []
+        reached = self.reachable()
+        ends = any(r.to is None for step in reached for r in self._rules[step].rules)
         if lost := [s.name for s in self._rules if s not in reached]:
             raise FlowError(f"not reachable: {', '.join(lost)}")
         if not ends:

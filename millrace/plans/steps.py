@@ -2,7 +2,8 @@
 
 A chunk step is one declarative plan (source, processors, policies, chunk numbers). In commit mode
 the driver walks over groups of chunks: each group is written to the sinks and then checkpointed, so
-a failure costs one group, and a restart begins behind the last committed row. The processed rows
+a failure costs one group, and a restart begins behind the last committed row. Sinks that can stage (folders) get
+BATCH groups in one Spark job, and each is then committed by a rename. The processed rows
 are computed once and kept on disk while the groups are written.
 """
 
@@ -22,7 +23,7 @@ from pyspark.storagelevel import StorageLevel
 
 from millrace.model import Context, JobExecution, Status, StepExecution, now
 from millrace.operators.deadletter import dead_letters
-from millrace.operators.policies import NEVER, Outcome, SkipPolicy, apply_policy
+from millrace.operators.policies import NEVER, Outcome, RetryPolicy, SkipPolicy, apply_policy
 from millrace.operators.processing import Composite, Identity, Processor
 from millrace.operators.ranges import RangePartitioner
 from millrace.plans.repository import Repository
@@ -51,6 +52,18 @@ class ChunkListener:
     def on_skip(self, step: StepExecution, skipped: DataFrame, before: int) -> None: ...
 
 
+class StepListener:
+    """Called on the driver around a chunk step; override what is wanted."""
+
+    def before_step(self, step: StepExecution) -> None: ...
+
+    def after_step(self, step: StepExecution) -> None: ...
+
+
+#: Groups of chunks that are staged in one job.
+BATCH = 256
+
+
 class DeadLetterListener(ChunkListener):
     """Writes skipped rows to a dead-letter sink."""
 
@@ -106,7 +119,7 @@ class Step:
 
 
 class ChunkStep(Step):
-    def __init__(self, repository: Repository, name: str, source, processor: Processor, sink: Sink, chunk_size: int, group: int, skip: SkipPolicy, listeners: Sequence[ChunkListener], stop: Stop | None, parallelism: int):
+    def __init__(self, repository: Repository, name: str, source, processor: Processor, sink: Sink, chunk_size: int, group: int, skip: SkipPolicy, listeners: Sequence[ChunkListener | StepListener], stop: Stop | None, parallelism: int):
         self.repository, self.name, self.source, self.processor, self.sink = repository, name, source, processor, sink
         self.chunk_size, self.group, self.skip, self.listeners, self.stop, self.parallelism = chunk_size, group, skip, list(listeners), stop, parallelism
 
@@ -129,13 +142,18 @@ class ChunkStep(Step):
                 step.context._values[key] = value
         step.status = Status.STARTED
         self.repository.update_step(step)
+        around = [x for x in self.listeners if isinstance(x, StepListener)]
         try:
+            for x in around:
+                x.before_step(step)
             with TELEMETRY.span("step", step=self.name):
                 stopped = self._run(step)
             step.status = Status.STOPPED if stopped else Status.COMPLETED
         except Exception as e:  # kept, the job decides
             step.status, step.failure, step.failure_message = Status.FAILED, e, str(e)[:4000]
         step.end_time = now()
+        for x in around:
+            x.after_step(step)
         self.repository.update_step(step)
         return step
 
@@ -147,6 +165,7 @@ class ChunkStep(Step):
     def _work(self, step: StepExecution, source_rows: DataFrame) -> bool:
         rows = self.plan(step.context).persist(StorageLevel.DISK_ONLY)
         try:
+            self.sink.open(step.is_restart)
             outcome = apply_policy(rows, self.skip)
             return self._commit(step, outcome, source_rows)
         finally:
@@ -155,16 +174,17 @@ class ChunkStep(Step):
 
     def _commit(self, step: StepExecution, outcome: Outcome, source_rows: DataFrame) -> bool:
         chunks = outcome.committed(self.chunk_size).persist(StorageLevel.DISK_ONLY)
+        commit = None
         try:
             sizes = chunks.withColumn("__g", F.expr(f"_chunk div {self.group}")).groupBy("__g").agg(F.max("_seq").alias("last"), F.count("*").alias("n")).orderBy("__g").collect()  # a row for each commit
             skips = outcome.skipped.count()
-            done, skipped_to = 0, 0
+            skipped_to, staged_to, listeners = 0, -1, [x for x in self.listeners if isinstance(x, ChunkListener)]
             for i, g in enumerate(sizes):
                 if self.stop is not None and self.stop.requested:
                     self._count_read(step, source_rows, sizes[i - 1]["last"] if i else None)
                     return True
                 first = g["__g"] * self.group
-                for x in self.listeners:
+                for x in listeners:
                     x.before_chunk(step, first)
                 last_group = i == len(sizes) - 1 and outcome.aborted_at is None
                 high = g["last"]
@@ -172,27 +192,34 @@ class ChunkStep(Step):
                     upto = outcome.skipped.where(F.col("_seq") > skipped_to) if last_group else outcome.skipped.where(F.col("_seq").between(skipped_to + 1, high))
                     self._report_skips(step, upto)
                     skipped_to = high
-                mine = chunks.where(F.col("_chunk").between(first, first + self.group - 1))
                 try:
-                    for x in self.listeners:
+                    for x in listeners:
                         x.before_write(step, first, g["n"])
                     with TELEMETRY.span("chunk", step=self.name, chunk=first):
-                        self.sink.write(mine, self.name, first)
-                    for x in self.listeners:
+                        if i > staged_to and len(sizes) > 1:
+                            if commit is not None:
+                                commit(None)
+                            staged_to = min(i + BATCH, len(sizes)) - 1
+                            some = chunks.where(F.col("_chunk").between(first, (sizes[staged_to]["__g"] + 1) * self.group - 1))
+                            commit = self.sink.prepare(some.withColumn("_group", F.expr(f"_chunk div {self.group} * {self.group}")), self.name)
+                        if commit is not None:
+                            commit(first)
+                        else:
+                            self.sink.write(chunks.where(F.col("_chunk").between(first, first + self.group - 1)), self.name, first)
+                    for x in listeners:
                         x.after_write(step, first, g["n"])
                 except Exception as e:
                     step.rollback_count += 1
-                    for x in self.listeners:
+                    for x in listeners:
                         x.on_error(step, first, e)
                     raise
                 step.write_count += g["n"]
-                done += 1
                 self.source.save(step.context, high)
                 self.repository.update_step(step)
                 TELEMETRY.add("items.written", g["n"])
                 TELEMETRY.add("chunks.committed", -(-g["n"] // self.chunk_size))
                 TELEMETRY.record("chunk.size", g["n"])
-                for x in self.listeners:
+                for x in listeners:
                     x.after_chunk(step, first)
             if skips and not sizes:
                 self._report_skips(step, outcome.skipped)
@@ -207,12 +234,14 @@ class ChunkStep(Step):
                 raise StepAborted(f"row {outcome.aborted_at} failed")
             return False
         finally:
+            if commit is not None:
+                commit(None)
             chunks.unpersist()
 
     def _report_skips(self, step: StepExecution, skipped: DataFrame) -> None:
         n = skipped.count()
         if n:
-            for x in self.listeners:
+            for x in [x for x in self.listeners if isinstance(x, ChunkListener)]:
                 x.on_skip(step, skipped, step.skip_count)
             step.skip_count += n
             TELEMETRY.add("items.skipped", n)
@@ -228,7 +257,7 @@ class StepBuilder:
 
     def __init__(self, repository: Repository | None = None):
         self._repository, self._source, self._processors, self._sinks = repository or Repository(), None, [], []
-        self._size, self._group, self._skip, self._listeners, self._stop, self._parallelism = 10, 1, NEVER, [], None, 1
+        self._size, self._group, self._skip, self._retry, self._listeners, self._stop, self._parallelism = 10, 1, NEVER, None, [], None, 1
 
     def source(self, source) -> StepBuilder:
         self._source = source
@@ -265,7 +294,12 @@ class StepBuilder:
         self._skip = policy
         return self
 
-    def listener(self, *listeners: ChunkListener) -> StepBuilder:
+    def retry_policy(self, policy: RetryPolicy) -> StepBuilder:
+        """How often a row's function is called again; what still fails goes to the skip policy."""
+        self._retry = policy
+        return self
+
+    def listener(self, *listeners: ChunkListener | StepListener) -> StepBuilder:
         self._listeners += listeners
         return self
 
@@ -283,6 +317,8 @@ class StepBuilder:
         if self._source is None or not self._sinks:
             raise ValueError("a step needs a source and a sink")
         processor = Composite(self._processors) if self._processors else Identity()
+        if self._retry is not None:
+            processor = processor.with_retry(self._retry)
         sink = self._sinks[0] if len(self._sinks) == 1 else CompositeSink(self._sinks)
         return ChunkStep(self._repository, name, self._source, processor, sink, self._size, self._group, self._skip, self._listeners, self._stop, self._parallelism)
 
@@ -317,6 +353,14 @@ class TaskletStep(Step):
         return step
 
 
+class PartitionHandler:
+    """Runs ``run`` for each part and returns the parts' step executions in order; here side by side in threads of the driver."""
+
+    def handle(self, run: Callable[[tuple[str, Context]], StepExecution], parts: dict[str, Context], parallel: int) -> list[StepExecution]:
+        with ThreadPoolExecutor(len(parts) if parallel == -1 else parallel) as pool:
+            return list(pool.map(run, parts.items()))
+
+
 class PartitionedStep(Step):
     """Runs a worker step for each part of a grid, each with its own range in its context.
 
@@ -325,10 +369,11 @@ class PartitionedStep(Step):
     not run again, and the others resume behind their checkpoints.
     """
 
-    def __init__(self, repository: Repository, name: str, worker: Callable[[str, Context], Step], partitioner: RangePartitioner, grid: int = 4, parallel: int = -1):
+    def __init__(self, repository: Repository, name: str, worker: Callable[[str, Context], Step], partitioner: RangePartitioner, grid: int = 4, parallel: int = -1, handler: PartitionHandler | None = None):
         if grid < 1 or (parallel < 1 and parallel != -1):
             raise ValueError("a grid and a parallelism of one at least (-1: all)")
         self.repository, self.name, self.worker, self.partitioner, self.grid, self.parallel = repository, name, worker, partitioner, grid, parallel
+        self.handler = handler or PartitionHandler()
 
     def execute(self, job: JobExecution) -> StepExecution:
         manager = self.repository.create_step_execution(job, self.name)
@@ -349,8 +394,7 @@ class PartitionedStep(Step):
             return step.execute(own)
 
         try:
-            with ThreadPoolExecutor(self.grid if self.parallel == -1 else self.parallel) as pool:
-                done = list(pool.map(run, parts.items()))
+            done = self.handler.handle(run, parts, self.parallel)
             bad = [s for s in done if s.status == Status.FAILED]
             stopped = any(s.status == Status.STOPPED for s in done)
             manager.status = Status.FAILED if bad else Status.STOPPED if stopped else Status.COMPLETED

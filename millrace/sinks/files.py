@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections.abc import Callable
 from xml.etree import ElementTree
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 
 
@@ -22,6 +23,16 @@ class Sink:
     def write(self, rows: DataFrame, step: str, first_chunk: int) -> None:
         raise NotImplementedError
 
+    def open(self, restart: bool) -> None:
+        """Before the first group; a restart goes on behind what an earlier run has committed."""
+
+    def prepare(self, rows: DataFrame, step: str) -> Callable[[int], None] | None:
+        """Writes many groups (``_group`` holds each row's first chunk) aside in one job and returns what commits one of them.
+
+        None: the sink takes groups one by one.
+        """
+        return None
+
     def close(self) -> None:
         """After the last group, also after a failure."""
 
@@ -30,12 +41,34 @@ def bare(rows: DataFrame) -> DataFrame:
     return rows.drop("_seq", "_chunk")
 
 
+def staged(rows: DataFrame, path: str, save: Callable[[DataFrameWriter, str], None]) -> Callable[[int], None]:
+    """Saves ``rows`` aside, a folder for each group; a group is committed by renaming its folder, in place of an older one."""
+    aside, session = f"{path}/_staged-{uuid.uuid4().hex}", rows.sparkSession
+    save(rows.write.partitionBy("_group"), aside)
+    to_path = session.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = to_path(aside).getFileSystem(session.sparkContext._jsc.hadoopConfiguration())
+
+    def commit(first_chunk: int | None) -> None:
+        if first_chunk is None:  # all done
+            files.delete(to_path(aside), True)
+            return
+        target = to_path(f"{path}/group={first_chunk:012d}")
+        files.delete(target, True)
+        if not files.rename(to_path(f"{aside}/_group={first_chunk}"), target):
+            raise OSError(f"group {first_chunk} could not be committed")
+
+    return commit
+
+
 class ParquetSink(Sink):
     """Folders ``group=<first chunk>`` below ``path``."""
 
     def __init__(self, path: str):
         self.path = path
 
+    def prepare(self, rows: DataFrame, step: str) -> Callable[[int], None]:
+        return staged(rows, self.path, lambda w, p: w.parquet(p))
+
     def write(self, rows: DataFrame, step: str, first_chunk: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.path}/group={first_chunk:012d}")
 
@@ -46,6 +79,10 @@ class TextSink(Sink):
     def __init__(self, path: str, formatter: Callable[[], Column]):
         self.path, self.formatter = path, formatter
 
+    def prepare(self, rows: DataFrame, step: str) -> Callable[[int], None]:
+        # one file for a group keeps its order
+        return staged(rows.repartition("_group").sortWithinPartitions("_group", "_seq").select(self.formatter().alias("value"), "_group"), self.path, lambda w, p: w.text(p))
+
     def write(self, rows: DataFrame, step: str, first_chunk: int) -> None:
         rows.orderBy("_seq").select(self.formatter().alias("value")).write.mode("overwrite").text(f"{self.path}/group={first_chunk:012d}")
 
@@ -57,6 +94,10 @@ class LineFileSink(Sink):
         self.path, self.formatter, self.mode = path, formatter, "a" if append else "w"
         self.file = None
 
+    def open(self, restart: bool) -> None:
+        if restart:
+            self.mode = "a"
+
     def write(self, rows: DataFrame, step: str, first_chunk: int) -> None:
         for row in rows.orderBy("_seq").select(self.formatter().alias("value")).toLocalIterator():
             if self.file is None:
@@ -78,6 +119,14 @@ class JsonArraySink(Sink):
     def __init__(self, path: str, indent: int | None = None):
         self.path, self.indent, self.any, self.file = path, indent, False, None
 
+    def open(self, restart: bool) -> None:
+        """On a restart the array is opened again where its end was."""
+        if restart and self.file is None and os.path.exists(self.path):
+            with open(self.path, encoding="utf-8") as f:
+                text = f.read().rstrip().removesuffix("]").rstrip()
+            self.file, self.any = open(self.path, "w", encoding="utf-8"), text not in ("", "[")
+            self.file.write(text or "[")
+
     def _open(self) -> None:
         if self.file is None:
             self.file = open(self.path, "w", encoding="utf-8")

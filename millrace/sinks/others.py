@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import sqlite3
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 
@@ -66,6 +66,21 @@ class CompositeSink(Sink):
         if not self.sinks:
             raise ValueError("a composite needs a sink")
 
+    def open(self, restart: bool) -> None:
+        for s in self.sinks:
+            s.open(restart)
+
+    def prepare(self, rows: DataFrame, step: str) -> Callable[[int | None], None] | None:
+        if any(type(s).prepare is Sink.prepare for s in self.sinks):
+            return None
+        commits = [s.prepare(rows, step) for s in self.sinks]
+
+        def commit(first_chunk: int | None) -> None:
+            for c in commits:
+                c(first_chunk)
+
+        return commit
+
     def write(self, rows: DataFrame, step: str, first_chunk: int) -> None:
         for s in self.sinks:
             s.write(rows, step, first_chunk)

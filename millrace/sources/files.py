@@ -1,13 +1,13 @@
 """Ordered file sources: text lines, JSON arrays, XML elements.
 
-Each returns a DataFrame with ``_seq``, the position that a checkpoint stores. Schemas are given,
-never inferred.
+Each returns a DataFrame with ``_seq``, the position that a checkpoint stores; positions of several files follow
+each other by path. Schemas are given, never inferred.
 """
 
 from __future__ import annotations
 
 import io
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from xml.etree import ElementTree
 
@@ -20,6 +20,8 @@ from millrace.functions.scalars import is_blank
 from millrace.model import Context
 from millrace.operators.sequence import numbered
 
+BATCH = 10_000
+
 
 def number_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line_no from 1, line): every physical line, blank ones included.
@@ -70,9 +72,9 @@ class JsonArraySource:
     def open(self, context: Context | None = None) -> DataFrame:
         kind = self.schema if isinstance(self.schema, str) else self.schema.simpleString()
         kind = f"array<struct<{kind}>>" if not kind.startswith("struct<") else f"array<{kind}>"
-        text = self.spark.read.text(self.path, wholetext=True)
-        rows = text.select(F.posexplode(F.from_json("value", kind, {"mode": "FAILFAST"})).alias("_seq", "__e")).where("__e is not null")
-        return rows.select(F.col("_seq").cast("long").alias("_seq"), "__e.*")
+        text = self.spark.read.text(self.path, wholetext=True).select("value", F.col("_metadata.file_path").alias("__f"))
+        rows = text.select("__f", F.posexplode(F.from_json("value", kind, {"mode": "FAILFAST"})).alias("__i", "__e"))
+        return by_file(rows).where("__e is not null").select("_seq", "__e.*")
 
     def save(self, context: Context, last: int) -> None:
         """Not restartable."""
@@ -106,18 +108,52 @@ class XmlSource:
 
             def parse(batches):
                 for pdf in batches:
-                    for data in pdf["content"]:
-                        found = [mapper(e) for e in ElementTree.parse(io.BytesIO(bytes(data))).getroot().iter(name)]
-                        yield pd.DataFrame([[i + 1, *(x.get(f) for f in fields)] for i, x in enumerate(found)], columns=["_seq", *fields], dtype=object)
-
-            out = T.StructType([T.StructField("_seq", T.LongType()), *kind.fields])
-            rows = self.spark.read.format("binaryFile").load(self.path).select("content").mapInPandas(parse, out)
+                    for path, data in zip(pdf["path"], pdf["content"], strict=True):
+                        found: list[list] = []
+                        for i, x in enumerate(elements(io.BytesIO(data), name, mapper)):
+                            found.append([path, i, *(x.get(f) for f in fields)])
+                            if len(found) == BATCH:
+                                yield pd.DataFrame(found, columns=["__f", "__i", *fields], dtype=object)
+                                found = []
+                        yield pd.DataFrame(found, columns=["__f", "__i", *fields], dtype=object)
+
+            out = T.StructType([T.StructField("__f", T.StringType()), T.StructField("__i", T.LongType()), *kind.fields])
+            rows = by_file(self.spark.read.format("binaryFile").load(self.path).select("path", "content").mapInPandas(parse, out))
+            rows = rows.select((F.col("_seq") + 1).alias("_seq"), *kind.fieldNames())
         return rows.where(F.col("_seq") > done)
 
     def save(self, context: Context, last: int) -> None:
         context.put(self.key, last)
 
 
+def elements(file, name: str, mapper: Callable[[ElementTree.Element], dict]) -> Iterator[dict]:
+    """Elements of a name in document order, as the parser comes by; what lies outside an element of the name is not kept."""
+    open_ones, path, done = 0, [], []
+    for event, e in ElementTree.iterparse(file, ("start", "end")):
+        if event == "start":
+            path.append(e)
+            if e.tag == name:
+                open_ones += 1
+                done.append(e)
+            continue
+        path.pop()
+        if e.tag == name:
+            open_ones -= 1
+        if open_ones == 0:
+            yield from map(mapper, done)  # an element and those of its name inside it
+            done = []
+            e.clear()
+            if path:
+                path[-1].remove(e)
+
+
+def by_file(rows: DataFrame) -> DataFrame:
+    """``_seq`` from 0 in the order of ``__f`` (path) and ``__i`` (place in the file)."""
+    sizes = rows.groupBy("__f").agg((F.max("__i") + 1).alias("__n"))  # a row for each file
+    before = sizes.select(F.col("__f").alias("__f2"), (F.sum("__n").over(Window.orderBy("__f")) - F.col("__n")).alias("__before"))
+    return rows.join(before, F.col("__f") == F.col("__f2")).withColumn("_seq", (F.col("__before") + F.col("__i")).cast("long")).drop("__f", "__f2", "__i", "__before")
+
+
 def child_texts(kind: T.StructType) -> Callable[[ElementTree.Element], dict]:
     casts = {f.name: (int if isinstance(f.dataType, T.IntegralType) else float if isinstance(f.dataType, T.FractionalType) else str) for f in kind.fields}
 

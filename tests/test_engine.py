@@ -3,21 +3,24 @@ import sqlite3
 import threading
 import time
 from datetime import timedelta
+from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.model import Context, Parameters, Status, now
-from millrace.operators.policies import ALWAYS, Classifier, SkipPolicy, classified, limited
-from millrace.operators.processing import Chain, Composite, Identity, Project, PythonMap, Transform
+from millrace.operators.policies import ALWAYS, NEVER, Classifier, RetryPolicy, SkipPolicy, classified, limited
+from millrace.operators.processing import ArrowMap, Chain, Composite, Identity, Project, PythonMap, Transform
 from millrace.operators.ranges import RangePartitioner
 from millrace.plans import cli
 from millrace.plans.jobs import AlreadyRunning, FlowBuilder, FlowError, Host, JobBuilder, Launcher
 from millrace.plans.repository import Repository
-from millrace.plans.steps import ChunkListener, PartitionedStep, Repeat, Step, StepAborted, StepBuilder, Stop, TaskletStep
-from millrace.sinks.files import JsonArraySink, LineFileSink, ParquetSink, Sink, XmlSink
+from millrace.plans.steps import ChunkListener, PartitionedStep, PartitionHandler, Repeat, Step, StepAborted, StepBuilder, StepListener, Stop, TaskletStep
+from millrace.sinks.files import JsonArraySink, LineFileSink, ParquetSink, Sink, TextSink, XmlSink
 from millrace.sinks.others import CompositeSink, JsonLinesDeadLetters, MemoryDeadLetters, MemorySink, RepositoryDeadLetters, SqliteSink
-from millrace.sources.files import LineSource, XmlSource
+from millrace.sources.files import JsonArraySource, LineSource, XmlSource
 from millrace.sources.memory import FrameSource, MemorySource
 from millrace.sources.relational import KeysetSource
 
@@ -585,3 +588,91 @@ def test_python_functions_see_nulls_and_whole_numbers(spark):
     rows = MemorySource(spark, [(1, None), (None, "x"), (2**53 + 1, "y")], "n long, s string").open()
     got = PythonMap(lambda r: {"n": r["n"], "shown": repr((r["n"], r["s"]))}, "n long, shown string").apply(rows).orderBy("_seq").collect()
     assert [(r["n"], r["shown"]) for r in got] == [(1, "(1, None)"), (None, "(None, 'x')"), (2**53 + 1, f"({2**53 + 1}, 'y')")]
+
+
+def test_retry_policy_of_a_step(spark, repo, tmp_path):
+    """Named errors are tried again, others fail at once; what still fails is skipped or ends the step."""
+    calls: dict[int, int] = {}
+
+    def flaky(row):
+        n = calls[row["value"]] = calls.get(row["value"], 0) + 1
+        if row["value"] == 4:
+            raise ValueError("no number")
+        if n < row["value"]:
+            raise ConnectionResetError("busy")
+        return {"value": row["value"], "calls": n}
+
+    def step(skip, sink):
+        policy = RetryPolicy(3, Classifier().retry(ConnectionError))
+        return StepBuilder(repo).source(ints(spark, 1, 5)).processor(Composite([Identity(), PythonMap(flaky, "value int, calls int")])).retry_policy(policy).skip_policy(skip).sink(sink).chunk_size(2)
+
+    letters, sink = MemoryDeadLetters(), MemorySink()
+    done = run(repo, step(ALWAYS, sink).dead_letters(letters).build("a"))
+    assert done.status == Status.COMPLETED and sink.rows == [(1, 1), (2, 2), (3, 3)]
+    assert [(e["exception_type"], e["item_json"]) for e in letters.entries] == [("ValueError", '{"value":4}'), ("ConnectionResetError", '{"value":5}')]
+    assert repo.last_step_execution(done.id, "a").skip_count == 2
+    assert run(repo, step(NEVER, MemorySink()).build("b"), Parameters(k="other")).status == Status.FAILED
+    with pytest.raises(ValueError):
+        RetryPolicy(0)
+
+
+def test_groups_are_staged_and_committed_by_rename(spark, repo, tmp_path):
+    path = str(tmp_path / "out")
+
+    class Seen(ChunkListener, StepListener):
+        events: list = []
+
+        def before_step(self, step):
+            self.events.append("before")
+
+        def after_write(self, step, chunk, rows):
+            self.events.append((chunk, rows, sorted(x.name for x in Path(path).glob("group=*"))[-1]))
+
+        def after_step(self, step):
+            self.events.append(step.write_count)
+
+    assert run(repo, StepBuilder(repo).source(ints(spark, 1, 23)).sink(ParquetSink(path)).chunk_size(5).chunks_per_commit(2).listener(Seen()).build("s")).status == Status.COMPLETED
+    assert Seen.events == ["before", (0, 10, "group=000000000000"), (2, 10, "group=000000000002"), (4, 3, "group=000000000004"), 23]
+    assert sorted(r["value"] for r in spark.read.parquet(path).collect()) == list(range(1, 24)) and not list(Path(path).glob("_staged*"))
+    text = str(tmp_path / "text")
+    run(repo, StepBuilder(repo).source(ints(spark, 1, 7)).sink(CompositeSink([TextSink(text, lambda: F.col("value").cast("string"))])).chunk_size(3).build("t"), Parameters(k="text"))
+    assert [[x for f in sorted(g.glob("part-*")) for x in f.read_text().split()] for g in sorted(Path(text).glob("group=*"))] == [["1", "2", "3"], ["4", "5", "6"], ["7"]]
+
+
+def test_files_follow_each_other(spark, tmp_path):
+    for name, ids in (("a", (1, 2, 3)), ("b", (4, 5))):
+        (tmp_path / f"{name}.xml").write_text("<r>" + "".join(f'<o id="{i}"><in><o id="{10 * i}"/></in></o>' for i in ids) + "</r>")
+        (tmp_path / f"{name}.json").write_text("[" + ", null, ".join(f'{{"id": {i}}}' for i in ids) + "]")
+    source, context = XmlSource(spark, str(tmp_path / "*.xml"), "o", "id int"), Context()
+    assert [tuple(r) for r in source.open(context).orderBy("_seq").collect()] == list(enumerate([1, 10, 2, 20, 3, 30, 4, 40, 5, 50], 1))
+    source.save(context, 7)
+    assert [r["id"] for r in source.open(context).orderBy("_seq").collect()] == [40, 5, 50]
+    assert [tuple(r) for r in JsonArraySource(spark, str(tmp_path / "*.json"), "id int").open().orderBy("_seq").collect()] == [(0, 1), (2, 2), (4, 3), (5, 4), (7, 5)]
+
+
+def test_files_of_a_restarted_step_go_on(spark, tmp_path):
+    rows = ints(spark, 1, 2).open().withColumn("_chunk", F.lit(0))
+    for make in (lambda: JsonArraySink(str(tmp_path / "x.json")), lambda: LineFileSink(str(tmp_path / "x.txt"), lambda: F.col("value").cast("string"))):
+        for restart in (False, False, True):
+            sink = make()
+            sink.open(restart)
+            sink.write(rows, "s", 0)
+            sink.close()
+    assert json.loads((tmp_path / "x.json").read_text()) == [{"value": 1}, {"value": 2}] * 2 and (tmp_path / "x.txt").read_text().split() == ["1", "2"] * 2
+
+
+def test_arrow_map_and_partition_handler(spark, repo):
+    double = ArrowMap(lambda b: pa.RecordBatch.from_arrays([b.column("_seq"), pc.multiply(b.column("value"), 2)], ["_seq", "value"]), "_seq long, value int")
+    assert [r["value"] for r in double.apply(ints(spark, 1, 3).open()).orderBy("_seq").collect()] == [2, 4, 6]
+
+    class Backwards(PartitionHandler):
+        def handle(self, run, parts, parallel):
+            return [run(x) for x in reversed(list(parts.items()))]
+
+    seen: list[str] = []
+
+    def worker(name, context):
+        return TaskletStep(repo, name, lambda step: seen.append(step.step_name) or Repeat.FINISHED)
+
+    assert run(repo, PartitionedStep(repo, "p", worker, RangePartitioner(1, 9), 3, handler=Backwards())).status == Status.COMPLETED
+    assert seen == ["p:partition2", "p:partition1", "p:partition0"]
