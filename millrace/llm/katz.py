@@ -17,9 +17,9 @@ Per token the recursion P(w | h) -> a(h) P(w) is followed in logarithms:
     log P(w) + log a(h), and for a pair that was seen log P(w | h) - log a(h) - log P(w) on top.
 
 Each text asks the blocks for its words and pairs; the blocks answer with sums. Words and pairs that make up a
-200,000th of all tokens each are broadcast with the same values (at most 200,000 of either, whatever the corpus),
+2^20th of all tokens each are broadcast with the same counts (at most 2^20 of either, whatever the corpus),
 so that none of them meets in one task; this changes no score. Counts cover the whole training part; equal texts of a task are
-scored once. A word is known by 48 bits of its hash, a pair by 48 bits and its block.
+scored once. A word is known by 48 bits of its hash, a pair by 47 bits and its block.
 
 Results for odd input: a null or wordless text is one end token; a null key is training text; an
 empty training part gives every token probability 1; repeated rows count each in
@@ -39,9 +39,11 @@ from millrace.llm.scratch import Scratch
 
 CUTOFF, CHUNK = 5, 4 << 20
 #: Words with this share of a sample of so many texts are dealt by pair; words and pairs with this share of all tokens are broadcast.
-HOT_SHARE, SAMPLE, COMMON_SHARE, COMMON_LEAST = 1 / 4096, 4000, 1 / 200_000, 64
+HOT_SHARE, SAMPLE, COMMON_SHARE, COMMON_LEAST = 1 / 4096, 4000, 1 / (1 << 20), 64
 #: Stand for a text's end, its start (a history only), and its presence among its pairs.
-END, START, PRESENT = (1 << 48) - 1, (1 << 48) - 2, (1 << 48) - 3
+END, START, PRESENT = (1 << 48) - 1, (1 << 48) - 2, (1 << 47) - 1
+#: What texts ask for are 47 bits of a hash; the 48th tells words from pairs.
+LOW47, WORD = np.uint64((1 << 47) - 1), np.uint64(1 << 47)
 #: A task remembers so many texts it has sent; others may be sent again.
 REMEMBERED = 1 << 16
 
@@ -190,8 +192,8 @@ def model_blobs(batches):
 
 
 def weigh(batches, parts: int, model: dict):
-    """A block's words (kind 12) and pairs (10; 11: of hot histories, whose a(h) comes later) for look-ups; of hot
-    histories the partial sums (kind 1); the common words (2) and pairs (3: of hot histories, 4) as rows."""
+    """A block's words (kind 12) and pairs (10; 11: of hot histories, whose a(h) comes later; 2 more where counts need 64 bits)
+    for look-ups; of hot histories the partial sums (kind 1); the common words (2) and pairs (3: of hot histories, 4) as rows."""
     v, w, c, cw = P.unpack_runs(P.gather(batches).pop(0, []), 1, ("6", "<i8", "<i8"))
     if not len(v):
         return
@@ -207,16 +209,23 @@ def weigh(batches, parts: int, model: dict):
     yield model_rows(1, word[is_hot], sums[0][is_hot], sums[1][is_hot], sums[2][is_hot])
     log_a, full = weight(*sums, model["unknown"])
     part = P.parts_of(W.mix(word), parts)
-    yield from model_blobs(P.rows(12, P.pack_runs(part[~is_hot], [], [word[~is_hot], sums[0][~is_hot], log_a[~is_hot]], ("6", "<i8", "<f8"))))
+    yield from model_blobs(P.rows(12, P.pack_runs(part[~is_hot], [], [word[~is_hot] & LOW47, sums[0][~is_hot], log_a[~is_hot]], ("6", "<i8", "<f8"))))
     often = ~is_hot & (sums[0] >= model["common_from"])
     yield model_rows(2, word[often], sums[0][often], log_a[often])
-    pair, gain, hot = pair_hash(v, w), np.log10(dc) - np.log10(share), np.repeat(is_hot, n)
-    gain -= np.where(hot, 0, np.repeat(log_a + np.log10(full), n))
+    pair, hot, off = pair_hash(v, w), np.repeat(is_hot, n), np.repeat(log_a + np.log10(full), n)
     place, often, part = np.repeat(place, n), c >= model["common_from"], blocks(v, pair, model["hot"], parts)
-    yield from model_blobs(P.rows(10, P.pack_runs(part[~hot], [], [pair[~hot], gain[~hot]], ("6", "<f8"))))
-    yield from model_blobs(P.rows(11, P.pack_runs(part[hot], [], [pair[hot], gain[hot], place[hot]], ("6", "<f8", "<u2"))))
-    yield model_rows(3, (pair & P.LOW48)[often & hot], place[often & hot], gain[often & hot])
-    yield model_rows(4, (pair & P.LOW48)[often & ~hot], c[often & ~hot], gain[often & ~hot])
+    wide = int(cw.max()) >= 1 << 32
+    size, more = "<i8" if wide else "<u4", 20 if wide else 0
+    yield from model_blobs(P.rows(10 + more, P.pack_runs(part[~hot], [off[~hot].view(np.int64)], [pair[~hot] & LOW47, c[~hot], cw[~hot]], ("6", size, size))))
+    yield from model_blobs(P.rows(11 + more, P.pack_runs(part[hot], [place[hot]], [pair[hot] & LOW47, c[hot], cw[hot]], ("6", size, size))))
+    gain = gains(c, cw, model) - np.where(hot, 0, off)
+    yield model_rows(3, (pair & LOW47)[often & hot], place[often & hot], gain[often & hot])
+    yield model_rows(4, (pair & LOW47)[often & ~hot], c[often & ~hot], gain[often & ~hot])
+
+
+def gains(c: np.ndarray, cw: np.ndarray, model: dict) -> np.ndarray:
+    """log of a pair's discounted count and of 1 / P(w): what it adds but for its history's part."""
+    return np.log10(discounted(c, model["d2"])) - np.log10(unigram(cw, model))
 
 
 def unigram(c: np.ndarray, model: dict) -> np.ndarray:
@@ -281,7 +290,7 @@ def read(batches, model: dict):
         h, first, v, w = tokens(batch.column("text"))
         rows = np.arange(batch.num_rows)
         row = np.repeat(rows, np.diff(first) + 1)
-        pair = pair_hash(v, w) & P.LOW48
+        pair = pair_hash(v, w) & LOW47
         known, at = places(model["word"], w)  # the end is known, as all hot words are
         common, place = places(model["pair"], pair)
         start = int(np.searchsorted(model["word"], np.uint64(START)))
@@ -296,7 +305,7 @@ def read(batches, model: dict):
 
 
 def post(batches, parts: int, model: dict):
-    """kind 0: a text's pairs but the common ones, kind 1: its words but the common ones; equal texts once as far as remembered."""
+    """A text's pairs and words but the common ones, to their blocks; equal texts once as far as remembered."""
     last = np.arange(1, REMEMBERED + 1)  # no key that belongs there
     for batch in W.chunks(batches, CHUNK):
         h, first, v, w = tokens(batch.column("text"))
@@ -308,44 +317,42 @@ def post(batches, parts: int, model: dict):
         take[at] = True
         row = np.repeat(np.arange(len(key)), np.diff(first) + 1)
         pair, mine = pair_hash(v, w), take[row]
-        rare = mine & ~places(model["pair"], pair & P.LOW48)[0]
-        yield from P.rows(0, P.pack(blocks(v[rare], pair[rare], model["hot"], parts), key[row[rare]], pair[rare] & P.LOW48))
-        rare = mine & ~places(model["word"], w)[0]
-        yield from P.rows(1, P.pack(P.parts_of(W.mix(w[rare]), parts), key[row[rare]], w[rare]))
-        mine = key[take]
-        yield from P.rows(0, P.pack(P.parts_of(mine.view(np.uint64), parts), mine, np.full(len(mine), PRESENT, np.uint64)))
+        rare = mine & ~places(model["pair"], pair & LOW47)[0]
+        word = mine & ~places(model["word"], w)[0]
+        part = [blocks(v[rare], pair[rare], model["hot"], parts), P.parts_of(W.mix(w[word]), parts), P.parts_of(key[take].view(np.uint64), parts)]
+        asked = [pair[rare] & LOW47, w[word] | WORD, np.full(len(at), PRESENT, np.uint64)]
+        yield from P.rows(0, P.pack(np.concatenate(part), key[np.concatenate([row[rare], row[word], np.flatnonzero(take)])], np.concatenate(asked)))
 
 
 def look_up(batches, model: dict, parts: int):
-    """One block: for each text how many pairs and words it asked for, how many words are known, and the sums of values and base scores."""
+    """One block: for each text how much it asked for, how many words are known, and the sums of values and base scores."""
     blobs = P.gather(batches)
-    pair, gain = P.unpack_runs(blobs.pop(10, []), 0, ("6", "<f8"))
-    hot_pair, hot_gain, place = P.unpack_runs(blobs.pop(11, []), 0, ("6", "<f8", "<u2"))
-    pair, gain = np.concatenate([pair, hot_pair]), np.concatenate([gain, hot_gain - model["hot_off"][place]])
-    order = np.argsort(pair)
-    pair, gain = pair[order], gain[order]
+    token, value = [np.zeros(0, np.uint64)], [np.zeros(0)]
+    for more, size in ((0, "<u4"), (20, "<i8")):
+        for kind in (10, 11):
+            key, pair, c, cw = P.unpack_runs(blobs.pop(kind + more, []), 1, ("6", size, size))
+            token.append(pair)
+            value.append(gains(c.astype(np.int64), cw.astype(np.int64), model) - (key.view(np.float64) if kind == 10 else model["hot_off"][key]))
+    token, value = np.concatenate(token), np.concatenate(value)
+    order = np.argsort(token)
+    token, value = token[order], value[order]
     word, count, log_a = P.unpack_runs(blobs.pop(12, []), 0, ("6", "<i8", "<f8"))
     order = np.argsort(word)
     word, count, log_a = word[order], count[order], log_a[order]
-    out: list[list[np.ndarray]] = [[], [], [], [], []]
-    for kind, table in ((0, pair), (1, word)):
-        key, token = P.unpack(blobs.pop(kind, []))
-        if not len(key):
-            continue
-        known, at = places(table, token)
-        value, base = np.zeros(len(key)), np.zeros(len(key))
-        if kind == 0:
-            value[known] = gain[at[known]]
-        else:
-            c = np.where(known, count[at], 0) if len(count) else np.zeros(len(key), np.int64)
-            value, base = np.log10(unigram(c, model)), base_of(c, model)
-            value[known] += log_a[at[known]]
-        text, at = np.unique(key, return_inverse=True)
-        for column, x in zip(out, (text, np.bincount(at), np.bincount(at, known * float(kind)), np.bincount(at, value), np.bincount(at, base)), strict=True):
-            column.append(x)
-    if out[0]:
-        key, sums = added(out)
-        yield from P.rows(5, P.pack_runs(P.parts_of(key.view(np.uint64), parts), [], [key, *sums], ("<i8", "<u4", "<u4", "<f8", "<f8")))
+    key, asked = P.unpack(blobs.pop(0, []))
+    if not len(key):
+        return
+    is_word = (asked & WORD) > 0
+    seen, at = places(token, asked)  # a word's bit is in no pair
+    told, base, known = np.zeros(len(key)), np.zeros(len(key)), np.zeros(len(key))
+    told[seen] = value[at[seen]]
+    seen, at = places(word, asked[is_word] & LOW47)
+    c = np.where(seen, count[at], 0) if len(count) else np.zeros(len(seen), np.int64)
+    told[is_word] = np.log10(unigram(c, model)) + (np.where(seen, log_a[at], 0) if len(count) else 0)
+    base[is_word], known[is_word] = base_of(c, model), seen
+    text, at = np.unique(key, return_inverse=True)
+    sums = [np.bincount(at), *[np.bincount(at, x) for x in (known, told, base)]]
+    yield from P.rows(5, P.pack_runs(P.parts_of(text.view(np.uint64), parts), [], [text, *sums], ("<i8", "<u4", "<u4", "<f8", "<f8")))
 
 
 def added(columns: list[list[np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray]]:
