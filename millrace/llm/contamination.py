@@ -3,16 +3,18 @@
 Patterns are all windows of 13 words of each benchmark item; an item with fewer words is one
 pattern of its own length. For each pattern length a shift table says how far a window may move
 on, given the hash of its last two words; many windows of different documents move at once. Where
-the shift is 0, the hash of the window picks a bucket of patterns, and the words themselves are
+the shift is 0, the hash of the window's last four words picks a bucket of test strings, a hash of the words before
+them those of the bucket that can match, and the words themselves are
 compared before an occurrence counts. Documents are searched where they are read: no shuffle.
 
-The benchmark's patterns are broadcast only up to ``block_bytes`` of item text; a larger benchmark
-is searched in blocks, one pass over the documents for each, with the hits so far kept in a
-table of the shared folder.
+Tables are numpy arrays: sorted suffix and prefix hashes, and offsets into one array of bytes. They take
+about 50 bytes a word, so they are broadcast only up to ``block_bytes`` of item text; a larger benchmark is
+searched in blocks, one pass over the documents for each, which keeps the hits of the texts that have any, keyed by two
+hashes of the text; the hits are joined to the documents at the end.
 
 Results for odd input: a null or empty text has no words and no hits; items without words, or
 with a null id, match nothing; repeated item ids count as one item; an empty benchmark leaves every
-document clean. Other columns of the documents pass through; ``hit_spans``, ``hit_items`` and
+document clean; repeated rows get equal results; an empty table gives an empty result. Other columns of the documents pass through; ``hit_spans``, ``hit_items`` and
 ``n_words`` replace columns of these names.
 """
 
@@ -20,55 +22,73 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm import words as W
 from millrace.llm.scratch import Scratch
 
-WINDOW, BLOCK_BYTES, LANE = 13, 64 << 20, 256
+WINDOW, BLOCK_BYTES, LANE, SUFFIX = 13, 8 << 20, 256, 4
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def pattern_sets(items: list[tuple[str, str]]) -> list[dict]:
     """Wu-Manber tables, one set for each pattern length."""
-    lower, sep = bytes(W.lower_table()), W.alnum_class()
-    of_length: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
-    for item, text in items:
-        buf = np.frombuffer((text or "").encode().translate(lower), np.uint8)
-        starts, ends, _ = W.split(buf, np.array([0, len(buf)]), sep)
-        raw = buf.tobytes()
-        seq = [raw[a:b] for a, b in zip(starts, ends, strict=True)]
-        k = min(WINDOW, len(seq))
-        for i in range(len(seq) - k + 1 if k else 0):
-            of_length.setdefault(k, {}).setdefault(tuple(seq[i : i + k]), set()).add(item)
+    names = np.array(sorted({i for i, _ in items}), dtype=object)
+    owner = np.searchsorted(names, np.array([i for i, _ in items], dtype=object)).astype(np.int32) if items else np.zeros(0, np.int32)
+    buf, off = W.text_bytes(pa.array([t for _, t in items], pa.string()))
+    buf = W.lower_table()[buf] if len(buf) else buf
+    starts, ends, first = W.split(buf, off, W.alnum_class())
+    h = W.word_hashes(buf, starts, ends, False)
+    # all words, each with a blank: the words of a window are one slice
+    begin = np.concatenate([[0], np.cumsum(ends - starts + 1)])
+    flat = np.full(int(begin[-1]), 0x20, np.uint8)
+    shift_by = np.repeat(starts - begin[:-1], ends - starts)
+    inner = np.flatnonzero(~np.isin(np.arange(len(flat)), begin[1:] - 1)) if len(starts) else np.zeros(0, np.int64)
+    flat[inner] = buf[inner + shift_by] if len(inner) else 0
+    flat_bytes = flat.tobytes()
+    size = np.diff(first)
     out = []
-    for k, patterns in sorted(of_length.items()):
-        texts = list(patterns)
-        flat = b" ".join(b" ".join(p) for p in texts)
-        buf = np.frombuffer(flat, np.uint8)
-        starts, ends, _ = W.split(buf, np.array([0, len(buf)]), W.space_class())
-        h = W.word_hashes(buf, starts, ends, False).reshape(-1, k)
-        width = min(2, k)
-        bits = max(12, min(22, int(np.ceil(np.log2(8 * h.size + 1)))))
+    for k in sorted({min(WINDOW, n) for n in size.tolist()} - {0}):
+        at = np.flatnonzero(W.window_starts(first, k) & np.repeat(size >= WINDOW, size)) if k == WINDOW else first[:-1][size == k]
+        width, tail = min(2, k), min(SUFFIX, k)
+        bits = max(12, min(22, int(np.ceil(np.log2(8 * k * len(at) + 1)))))
         shift = np.full(1 << bits, k - width + 1, np.int64)
         for end in range(width - 1, k):
-            block = h[:, end] if width == 1 else h[:, end - 1] * np.uint64(W.STEP) + h[:, end]
+            block = h[at + end] if width == 1 else h[at + end - 1] * np.uint64(W.STEP) + h[at + end]
             np.minimum.at(shift, (W.mix(block) >> np.uint64(64 - bits)).astype(np.int64), k - 1 - end)
-        whole = window_of(h)
-        order = np.argsort(whole, kind="stable")
-        out.append({"k": k, "width": width, "bits": bits, "shift": shift, "keys": whole[order], "texts": [b" ".join(texts[i]) for i in order], "items": [sorted(patterns[texts[i]]) for i in order]})
+        suffix, prefix = window_of(h, at + k - tail, tail), window_of(h, at, k - tail)
+        item = owner[np.searchsorted(first, at, "right") - 1]
+        order = np.lexsort((item, prefix, suffix))
+        at, suffix, prefix, item = at[order], suffix[order], prefix[order], item[order]
+        a, b = begin[at], begin[at + k] - 1
+        new = np.ones(len(at), bool)  # equal windows of several items are one test string
+        for x in np.flatnonzero((suffix[1:] == suffix[:-1]) & (prefix[1:] == prefix[:-1])).tolist():
+            new[x + 1] = flat_bytes[a[x] : b[x]] != flat_bytes[a[x + 1] : b[x + 1]]
+        edge = np.flatnonzero(new)
+        out.append({"k": k, "width": width, "tail": tail, "bits": bits, "shift": shift, "suffix": suffix[edge], "prefix": prefix[edge], "a": a[edge], "b": b[edge], "flat": flat_bytes, "owner": item, "owners": np.append(edge, len(at)), "names": names})
     return out
 
 
-def window_of(h: np.ndarray) -> np.ndarray:
-    """One hash for each row of word hashes."""
-    acc = np.zeros(len(h), np.uint64)
-    for j in range(h.shape[1]):
-        acc = acc * np.uint64(W.MIX_A) + h[:, j]
+def window_of(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """One hash for the ``k`` word hashes from each place on."""
+    acc = np.zeros(len(at), np.uint64)
+    for j in range(k):
+        acc = acc * np.uint64(W.MIX_A) + h[at + j]
     return W.mix(acc)
 
 
+def inside(values: np.ndarray, x: np.ndarray, lo: np.ndarray, hi: np.ndarray, right: bool) -> np.ndarray:
+    """``searchsorted`` of each x in its own sorted part [lo, hi) of ``values``."""
+    lo, hi = lo.copy(), hi.copy()
+    while len(live := np.flatnonzero(lo < hi)):
+        mid = (lo[live] + hi[live]) // 2
+        on = values[mid] <= x[live] if right else values[mid] < x[live]
+        lo[live[on]], hi[live[~on]] = mid[on] + 1, mid[~on]
+    return lo
+
+
 def occurrences(table: dict, h: np.ndarray, first: np.ndarray, word_at) -> list[tuple[int, int]]:
     """(word position, pattern number) of every pattern of one length; ``word_at(i, k)`` gives k words' text."""
     k, width, bits, shift = table["k"], table["width"], table["bits"], table["shift"]
@@ -91,12 +111,16 @@ def occurrences(table: dict, h: np.ndarray, first: np.ndarray, word_at) -> list[
     ends = np.concatenate(found)
     if not len(ends):
         return []
-    whole = window_of(h[(ends - k + 1)[:, None] + np.arange(k)])
-    lo, hi = np.searchsorted(table["keys"], whole, "left"), np.searchsorted(table["keys"], whole, "right")
+    tail = table["tail"]
+    key = window_of(h, ends - tail + 1, tail)
+    lo, hi = np.searchsorted(table["suffix"], key, "left"), np.searchsorted(table["suffix"], key, "right")
+    ends, lo, hi = ends[lo < hi], lo[lo < hi], hi[lo < hi]
+    key = window_of(h, ends - k + 1, k - tail)
+    lo, hi = inside(table["prefix"], key, lo, hi, False), inside(table["prefix"], key, lo, hi, True)
     out = []
     for e, a, b in zip(ends[lo < hi].tolist(), lo[lo < hi].tolist(), hi[lo < hi].tolist(), strict=True):
         text = word_at(e - k + 1, k)
-        out += [(e - k + 1, n) for n in range(a, b) if table["texts"][n] == text]
+        out += [(e - k + 1, n) for n in range(a, b) if table["flat"][table["a"][n] : table["b"][n]] == text]
     return out
 
 
@@ -119,14 +143,8 @@ def search(batches, tables: list[dict], others: list[str]):
                 np.add.at(edge, at, 1)
                 np.add.at(edge, at + table["k"], -1)
                 for row, (_, p) in zip((np.searchsorted(first, at, "right") - 1).tolist(), hits, strict=True):
-                    items[row].update(table["items"][p])
+                    items[row].update(table["names"][table["owner"][table["owners"][p] : table["owners"][p + 1]]].tolist())
         covered = np.cumsum(edge)[:n] > 0
-        has_before = "hit_spans" in batch.schema.names
-        if has_before:
-            for row, (spans, before) in enumerate(zip(batch.column("hit_spans").to_pylist(), batch.column("hit_items").to_pylist(), strict=True)):
-                items[row].update(before or ())
-                for s in spans or ():
-                    covered[first[row] + s["start"] : first[row] + s["end"]] = True
         spans: list[list[dict]] = [[] for _ in items]
         for row in np.unique(np.searchsorted(first, np.flatnonzero(covered), "right") - 1).tolist():
             c = np.concatenate([[0], covered[first[row] : first[row + 1]].astype(np.int8), [0]])
@@ -141,27 +159,43 @@ FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hit
 
 def find(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` (all columns, or those of ``keep``) with n_words, hit_spans and hit_items."""
-    spark = docs.sparkSession
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total * 2 // block_bytes) if total > block_bytes else 1
     docs = docs.drop("n_words", "hit_spans", "hit_items")
     others = [c for c in (keep or docs.columns) if c not in FOUND.names]
-    scratch, last = Scratch(spark, "contamination") if blocks > 1 else None, None
+
+    def searched(rows: DataFrame, some: DataFrame, names: list[str]) -> DataFrame:
+        found = some.distinct().collect()  # a block's bytes, or one item
+        tables = docs.sparkSession.sparkContext.broadcast(pattern_sets(sorted((r[0], r[1]) for r in found)))
+        schema = T.StructType([rows.schema[c] for c in names] + FOUND.fields)
+        return rows.select(*dict.fromkeys([*names, "text"])).mapInArrow(lambda it: search(it, tables.value, names), schema)
+
+    if blocks == 1:
+        return searched(docs, items, others)
+    scratch, narrow, hits = Scratch(docs.sparkSession, "contamination"), docs.select("text", *text_key("text")), None
     for b in range(blocks):
-        rows = (items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items).distinct().collect()  # at most a block's bytes
-        tables = spark.sparkContext.broadcast(pattern_sets(sorted((r[0], r[1]) for r in rows)))
-        ends = b == blocks - 1
-        carry = others if ends else list(dict.fromkeys([*others, "text"]))
-        need = list(dict.fromkeys([*carry, "text", *(["hit_spans", "hit_items"] if b else [])]))
-        schema = T.StructType([docs.schema[c] for c in carry] + FOUND.fields)
-        docs = docs.select(*need).mapInArrow(lambda it, t=tables, c=carry: search(it, t.value, c), schema)
-        if not ends:
-            docs, old = scratch.save(docs), last
-            if old is not None:
-                scratch.drop(old)
-            last = docs
-    return docs
+        some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+        found = scratch.save(searched(narrow, some, ["__a", "__b"]).where("size(hit_items) > 0").dropDuplicates(["__a", "__b"]))
+        hits = found if hits is None else hits.union(found)
+    every, kind = F.array_sort(F.flatten(F.collect_list("hit_spans"))), FOUND["hit_spans"].dataType.simpleString()
+    merged = hits.groupBy("__a", "__b").agg(every.alias("__every"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_items")))).alias("hit_items"))
+
+    def joined(done: Column, s: Column) -> Column:
+        """Spans in order; one that meets the last makes it longer."""
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
+        return F.when((F.size(done) > 0) & (last["end"] >= s["start"]), longer).otherwise(F.concat(done, F.array(s)))
+
+    merged = scratch.save(merged.select("__a", "__b", F.aggregate("__every", F.array().cast(kind), joined).alias("hit_spans"), "hit_items"))
+    n_words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words")
+    rows = docs.select(*others, n_words, *text_key("text")).join(merged, ["__a", "__b"], "left")
+    kinds = {f.name: f.dataType.simpleString() for f in FOUND.fields}
+    return rows.select(*others, "n_words", *[F.coalesce(c, F.array().cast(kinds[c])).alias(c) for c in ("hit_spans", "hit_items")])
+
+
+def text_key(text: str) -> list[Column]:
+    return [F.xxhash64(text).alias("__a"), F.xxhash64(F.lit("text"), text).alias("__b")]
 
 
 def judged(found: DataFrame) -> DataFrame:
