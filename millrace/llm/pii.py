@@ -3,10 +3,10 @@ r"""Personal data: base patterns, and unseen identifiers by bootstrapped context
 Base entities (e-mail, IP, card, phone) come from regular expressions; positions follow from the
 lengths of the pieces between the matches. Then tokens with a digit are candidates: those that
 overlap a base entity are seeds. Seeds induce lexical patterns (the two words before, the word
-before, the word after), patterns are scored on the graph of distinct (instance, pattern) pairs by
+before, the word after, however long), patterns are scored on the graph of distinct (instance, pattern) pairs by
 the share of their instances that are seeds of one kind, instances by the noisy-or of their
-patterns, and instances above the threshold become seeds of the next round. Their occurrences are
-added under the kind they were found for; base spans always stay.
+patterns, and instances above the threshold become seeds of the next round, until no round finds another. Their
+occurrences are added under the kind they were found for; base spans always stay.
 
 Everything is DataFrame expressions. Regular expressions are written so that they never go back
 over a run of characters twice, which keeps very long texts linear; the \G and lookbehind parts
@@ -35,8 +35,10 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "token": rf"(?<![^{SPACE}])[^{SPACE}0-9]*+[0-9][^{SPACE}]*+",
 }
-#: A pattern needs so many distinct seeds and this share of seeds; an instance this noisy-or; so many rounds.
-SEEDS, CONFIDENCE, ACCEPT, ROUNDS, CONTEXT = 3, 0.8, 0.9, 2, 80
+#: A pattern needs so many distinct seeds and this share of seeds; an instance this noisy-or.
+SEEDS, CONFIDENCE, ACCEPT = 3, 0.8, 0.9
+#: The last one or two words of a piece of text with what follows them, and its first.
+LAST_TWO, LAST_ONE, FIRST = rf"(?<![^{SPACE}])([^{SPACE}]++[{SPACE}]++[^{SPACE}]++[{SPACE}]*+)$", rf"(?<![^{SPACE}])([^{SPACE}]++[{SPACE}]*+)$", rf"^([{SPACE}]*+[^{SPACE}]++)"
 
 
 def digits(match: Column) -> Column:
@@ -85,7 +87,8 @@ def matches(docs: DataFrame) -> DataFrame:
     for i, name in enumerate(names):
         m, piece = F.col("m_" + name), F.split("text", PATTERNS[name], -1)
         if name == "token":
-            ends = F.transform(piece, lambda p: F.struct(F.length(p).alias("n"), F.substring(p, -CONTEXT, CONTEXT).alias("last"), F.substring(p, 1, CONTEXT).alias("first")))
+            last = lambda p: F.coalesce(F.nullif(F.regexp_extract(p, LAST_TWO, 1), F.lit("")), F.regexp_extract(p, LAST_ONE, 1))
+            ends = F.transform(piece, lambda p: F.struct(F.length(p).alias("n"), last(p).alias("last"), F.regexp_extract(p, FIRST, 1).alias("first")))  # noqa: B023
         else:
             ends = F.transform(piece, lambda p: F.struct(F.length(p).alias("n"), F.lit(None).cast("string").alias("last"), F.lit(None).cast("string").alias("first")))
         found.append(F.when(F.size(m) > 0, F.transform(F.arrays_zip(m.alias("m"), ends.alias("p")), segment(i))).otherwise(F.array()))
@@ -119,12 +122,12 @@ def candidates(found: DataFrame) -> DataFrame:
     return rows.select("doc_id", "h", "instance", "start", "end", "patterns", F.when(F.col("mark.end") > F.col("start"), F.col("mark.kind")).alias("kind"))
 
 
-def bootstrap(tokens: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
+def bootstrap(tokens: DataFrame, scratch: Scratch) -> DataFrame:
     """(instance, kind) of the instances that patterns discover."""
     edges = scratch.save(tokens.where("instance <> ''").select("instance", F.explode("patterns").alias("pattern")).distinct())
     seeds = scratch.save(tokens.where("kind is not null and instance <> ''").groupBy("instance").agg(F.min("kind").alias("kind")))
     first = seeds
-    for _ in range(rounds):
+    while True:
         known = edges.join(seeds, "instance", "left")
         counts = known.groupBy("pattern").agg(F.count("*").alias("all"), *[F.count(F.when(F.col("kind") == k, 1)).alias(f"k{k}") for k in range(len(KINDS))])
         best = F.greatest(*[F.struct(F.col(f"k{k}").alias("n"), F.lit(-k).alias("kind")) for k in range(len(KINDS))])
@@ -132,16 +135,19 @@ def bootstrap(tokens: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> Data
         good = good.select("pattern", (-F.col("best.kind")).alias("to"), (F.col("best.n") / (F.col("all") + 1)).alias("p"))
         fresh = known.where("kind is null").join(good, "pattern").groupBy("instance", "to").agg((1 - F.exp(F.sum(F.log(1 - F.col("p"))))).alias("p"))
         fresh = fresh.where(F.col("p") >= ACCEPT).groupBy("instance").agg(F.max_by("to", F.struct("p", -F.col("to"))).alias("kind"))
+        fresh = scratch.save(fresh)
+        if fresh.isEmpty():
+            break
         seeds = scratch.save(seeds.union(fresh))
     return seeds.join(first.select("instance"), "instance", "left_anti")
 
 
-def spans(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def spans(docs: DataFrame) -> DataFrame:
     """(doc_id, h, base, added) of the texts in which something is found; spans are (kind, start, end)."""
     scratch = Scratch(docs.sparkSession, "pii")
     found = scratch.save(matches(docs).where(holds(F.col("kind"), F.col("match"))))
     tokens = scratch.save(candidates(found))
-    new = bootstrap(tokens, scratch, rounds)
+    new = bootstrap(tokens, scratch)
     added = tokens.where("kind is null").drop("kind").join(new, "instance").select("doc_id", "h", "kind", "start", "end", F.lit(1).alias("added"))
     rows = found.where("kind < 4").select("doc_id", "h", "kind", "start", "end", F.lit(0).alias("added")).union(added)
     span = F.struct("kind", "start", "end")
