@@ -9,9 +9,12 @@ documents in seeded order (md5 of seed and id) until the target is reached; the
 which it is reached is taken in part. Running sums are kept per (source, hash bin), so a source
 with a third of all rows is dealt over 4096 bins.
 
+Sizes are counted once: what the sums need of a row (source, bin, size) is saved before. There are few sources (a row each
+meets in one task); documents may be any number.
+
 Results for odd input: a null source is a source of its own, last in order; null texts have size
-0; repeated rows count each; a source without words has target 0; an empty table gives an empty
-result. Other columns are left alone.
+0; repeated rows count each; rows of a null id are ordered by a hash of all their columns; a source without words has target 0; an empty table gives an empty
+result. Other columns pass through; ``source_size``, ``target``, ``repeats`` and ``part`` replace columns of these names.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.scratch import Scratch
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -44,9 +49,10 @@ def targets(sizes: DataFrame, total: Column, weights: tuple[int, ...], max_epoch
 
 def mix(df: DataFrame, key: str = "doc_id", source: str = "source", size: str = "size", share: float = 1.5, weights: tuple[int, ...] = (3, 1, 2), max_epochs: float = 2.0, seed: str = "mix", bins_hex: int = 3) -> DataFrame:
     """``df`` with source_size, target, repeats (whole repetitions) and part (words of the fractional one)."""
+    scratch, df = Scratch(df.sparkSession, "mixing"), df.drop("source_size", "target", "repeats", "part")
     rows = df.withColumn("__key", F.when(F.col(source).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source))))
-    rows = rows.withColumn("__h", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(key).cast("string"), F.lit(""))))).withColumn("__bin", F.substring("__h", 1, bins_hex))
-    binned = rows.groupBy("__key", "__bin").agg(F.sum(size).alias("__n"))
+    rows = rows.withColumn("__h", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(key).cast("string"), F.xxhash64(*df.columns).cast("string"))))).withColumn("__bin", F.substring("__h", 1, bins_hex))
+    binned = scratch.save(rows.groupBy("__key", "__bin").agg(F.sum(size).alias("__n")))
     sources = binned.groupBy("__key").agg(F.sum("__n").alias("source_size"))
     goal = targets(sources, F.sum("source_size").over(Window.partitionBy()) * F.lit(float(share)), weights, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -61,7 +67,8 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", size: str =
 
 def op8(docs: DataFrame) -> DataFrame:
     """How many words of each document the mix of ``documents`` takes."""
-    mixed = mix(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    sized = Scratch(docs.sparkSession, "mixing").save(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    mixed = mix(sized)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("repeats") * F.col("size") + F.col("part")).alias("taken"))
 
 
