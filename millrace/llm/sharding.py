@@ -2,23 +2,26 @@
 
 Row numbers come from counts per hash bucket plus the position inside the bucket, so no task
 sees more than one bucket's narrow rows and the text itself is never shuffled. The permutation
-works on pairs below ``side`` (``side`` squared covers all rows); numbers that land beyond the
+is keyed by the seed and works on pairs below ``side`` (``side`` squared covers all rows); numbers that land beyond the
 last row walk on until they land inside. Position p goes to shard ``p % shards``, slot
 ``p // shards``: shard sizes differ by one row at most and slots have no gaps.
 
 Results for odd input: a null ``doc_id`` is numbered like any other row; a null text counts as
 empty (16 bytes, crc32 0); repeated rows get a place each; an empty table gives an empty result.
-Other columns are left alone.
+Other columns pass through; ``shard`` and ``slot`` replace columns of these names.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Fixed values of the round function: a Mersenne prime and a multiplier and addend for each round.
+#: Fixed value of the round function: a Mersenne prime.
 PRIME = 2147483647
-ROUND_KEYS = [(1103515245, 12345), (69069, 1013904223), (1664525, 907633385), (48271, 1442695041), (16807, 305419896), (742938285, 271828183)]
+ROUNDS, SEED = 6, 7
 ROWS_PER_BUCKET, MAX_BUCKETS, WALKS = 2_000, 1 << 20, 40
 
 
@@ -44,13 +47,16 @@ def row_numbers(df: DataFrame, key: str, order: list[str], seed: int, name: str
     return keyed.withColumn("__inside", inside).join(before.hint("shuffle_hash"), "__bucket").withColumn(name, F.col("__before") + F.col("__inside") - 1).drop("__bucket", "__before", "__inside"), total
 
 
-def permuted(number: Column, rows: int) -> Column:
-    """The place of a row number in a pseudo-random permutation of 0 to ``rows`` - 1."""
-    side = int(rows**0.5)
-    while side * side < rows:
-        side += 1
-    side = max(side, 1)
-    keys = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(c).cast("long").alias("c")) for a, c in ROUND_KEYS])
+def round_keys(seed: int) -> list[tuple[int, int]]:
+    """A multiplier (not 0) and an addend below PRIME for each round, from a digest of the seed."""
+    words = [int.from_bytes(hashlib.sha256(f"feistel:{seed}:{i}".encode()).digest()[:8], "big") for i in range(2 * ROUNDS)]
+    return [(words[2 * i] % (PRIME - 1) + 1, words[2 * i + 1] % PRIME) for i in range(ROUNDS)]
+
+
+def permuted(number: Column, rows: int, seed: int = SEED) -> Column:
+    """The place of a row number in a pseudo-random permutation of 0 to ``rows`` - 1, keyed by ``seed``."""
+    side = math.isqrt(max(rows - 1, 0)) + 1
+    keys = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(c).cast("long").alias("c")) for a, c in round_keys(seed)])
 
     def one_round(s: Column, k: Column) -> Column:
         x = F.pmod(F.pmod(s["r"], F.lit(PRIME)) * k["a"] + k["c"], F.lit(PRIME).cast("long"))
@@ -66,10 +72,10 @@ def permuted(number: Column, rows: int) -> Column:
     return F.when(walk < rows, walk).otherwise(F.raise_error(F.lit("cycle walking did not end")).cast("long"))
 
 
-def shard(df: DataFrame, shards: int = 40, key: str = "doc_id", order: list[str] | None = None, seed: int = 7) -> DataFrame:
+def shard(df: DataFrame, shards: int = 40, key: str = "doc_id", order: list[str] | None = None, seed: int = SEED) -> DataFrame:
     """``df`` with ``shard`` and ``slot``. ``order`` names narrow columns that tell rows of one key apart."""
     numbered, rows = row_numbers(df, key, [key, *(order or [])], seed, "__number")
-    place = permuted(F.col("__number"), max(rows, 1))
+    place = permuted(F.col("__number"), max(rows, 1), seed)
     return numbered.withColumn("__place", place).withColumn("shard", F.pmod("__place", F.lit(shards)).cast("int")).withColumn("slot", F.expr(f"`__place` div {shards}")).drop("__number", "__place")
 
 
