@@ -1,8 +1,8 @@
 """Intermediate tables in the folder that the cluster shares.
 
 Iterative operators cut their lineage by writing a table and reading it back, so a lost
-executor costs the tasks of one step only. The folder comes from ``spark.checkpoint.dir``;
-only where that is unset (tests, local runs) one under the system's temporary folder is used.
+executor costs the tasks of one step only. The folder comes from ``spark.checkpoint.dir``; where that
+is unset, one under the system's temporary folder is used, but only if the master is local: elsewhere that is an error.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder that the session names; set here only where it names none."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         root = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="millrace-"))
     return root.rstrip("/")
