@@ -9,8 +9,9 @@ each 200 corners of the smaller image) are compared: each corner of the image wi
 matches its nearest descriptor within a Hamming distance of 48, and two images are copies if one
 similarity transform (scale, turn, shift) maps at least ``least`` matched corners, and a fiftieth of all matches, onto each other.
 
-Codes travel in packed postings. A code's images are compared with its smallest id first; after that,
-exactly, all that share two codes and are not yet connected, each pair once. A group of copies so
+Codes travel in packed postings. Each code pairs its images with its smallest id, and each image is first compared with the one
+that shares the most codes with it, then with the best of those it is not connected with; after that,
+exactly, all that share codes enough and are not yet connected, each pair once. A group of copies so
 costs its size, not its square; what stays quadratic are images that share codes and are no copies.
 Images of equal bytes are a class whose smallest id stands for it. Features are computed again for
 the images of compared pairs only, so no descriptors are stored.
@@ -426,21 +427,35 @@ def copies(images: DataFrame, least: int = CONSENSUS, shared: int = SHARED) -> D
     posted = found.where("n > 0 and id is not null").select("id", "sig", "codes").mapInArrow(lambda it: post(it, parts), P.SCHEMA)
     met = scratch.save(P.dealt(posted, parts).mapInArrow(lambda it: meet(it, parts), P.SCHEMA))
     scratch.sweep()
-    pairs = scratch.save(of_classes(P.dealt(met.where("kind = 1"), parts).mapInArrow(lambda it: tally(it, shared), "a long, b long, k long")))
-    first = verified(pairs, images, least, scratch)
-    roots = components(first, scratch).withColumnRenamed("node", "rep")
-    sharing = P.dealt(met.where("kind = 0"), parts).mapInArrow(gathered, "id long, codes binary")
-    rooted = sharing.join(named.drop("n"), "id").join(roots, "rep", "left").select("id", F.coalesce("root", "rep").alias("root"), "codes")
-    again = P.dealt(rooted.mapInArrow(lambda it: post_rooted(it, parts), P.SCHEMA), parts).mapInArrow(lambda it: cross(it, parts), P.SCHEMA)
-    rest = of_classes(P.dealt(again, parts).mapInArrow(lambda it: tally(it, shared), "a long, b long, k long"))
-    rest = scratch.save(rest.join(pairs, ["a", "b"], "left_anti"))  # each pair is verified once
-    second = verified(rest, images, least, scratch)
-    linked = components(first.union(second), scratch)
+    sharing = scratch.save(P.dealt(met.where("kind = 0"), parts).mapInArrow(gathered, "id long, codes binary"))
+
+    def tallied(posts: DataFrame) -> DataFrame:
+        return P.dealt(posts, parts).mapInArrow(lambda it: tally(it, shared), "a long, b long, k long")
+
+    def best(pairs: DataFrame) -> DataFrame:
+        """For each image the one of its pairs with a smaller id that shares the most codes."""
+        return pairs.groupBy("b").agg(F.max_by("a", F.struct("k", -F.col("a"))).alias("a"), F.max("k").alias("k"))
+
+    def unconnected(links: DataFrame) -> DataFrame:
+        """Pairs that share codes enough and are not in one component of ``links``."""
+        roots = components(links, scratch).withColumnRenamed("node", "rep")
+        rooted = sharing.join(named.drop("n"), "id").join(roots, "rep", "left").select("id", F.coalesce("root", "rep").alias("root"), "codes")
+        return tallied(P.dealt(rooted.mapInArrow(lambda it: post_rooted(it, parts), P.SCHEMA), parts).mapInArrow(lambda it: cross(it, parts), P.SCHEMA))
+
+    # each image with its best partner, twice, connects nearly all copies; then, exactly, whatever is not connected
+    links = tested = None
+    for turn in range(3):
+        found_pairs = tallied(met.where("kind = 1")) if turn == 0 else unconnected(links)
+        pairs = of_classes(found_pairs if turn == 2 else best(found_pairs))
+        pairs = scratch.save(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))  # each pair is verified once
+        told = verified(pairs, images, least, scratch)
+        links, tested = (told, pairs) if links is None else (links.union(told), tested.union(pairs))
+    linked = components(links, scratch)
     rooted = classes.join(linked.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("class_id"))
     told = scratch.save(rooted.join(smallest, "root").select("sig", "class_id"))
     out = scratch.save(narrow)
-    scratch.drop(found, met, pairs, rest, first, second, named, classes)
+    scratch.drop(found, met, sharing, named, classes)
     return out.join(told, "sig", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.col("n").alias("n_corners"))
 
 
