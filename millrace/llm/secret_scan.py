@@ -120,14 +120,19 @@ def fit(findings: DataFrame, dictionary: DataFrame, scratch: Scratch) -> RandomF
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(rows)
 
 
+def judge(model: RandomForestClassificationModel, rows: DataFrame) -> DataFrame:
+    """``rows`` with the forest's share ``p`` of votes for a secret."""
+    judged = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows))
+    return judged.withColumn("p", vector_to_array("probability")[1])
+
+
 def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """(doc_id, h, start, end, match, p, secret) of every candidate in ``docs`` (doc_id, text)."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "secrets")
     dictionary = scratch.save(learned_words(docs.select("doc_id", "text")))
     model = fit(findings if findings is not None else generated_findings(spark, dictionary), dictionary, scratch)
     found = scratch.save(candidates(docs))
-    judged = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(found, dictionary, scratch)))
-    return judged.select("doc_id", "h", "start", "end", "match", vector_to_array("probability")[1].alias("p")).withColumn("secret", F.col("p") > threshold)
+    return judge(model, with_features(found, dictionary, scratch)).select("doc_id", "h", "start", "end", "match", "p").withColumn("secret", F.col("p") > threshold)
 
 
 def op4(docs: DataFrame) -> DataFrame:

@@ -140,3 +140,57 @@ class Katz:
         s = sum(math.log10(self.prob(h, w)) for h, w in zip(["<s>", *ids[:-1]], ids, strict=True)) - ids.count(None) * math.log10(self.rare)
         base = sum(math.log10((self.raw[w] + 0.5) / (self.N + 0.5 * (self.V + 1))) for w in t)
         return len(t), sum(self.raw[w] > 0 for w in t), base, s
+
+
+def feistel(number, rows, keys, prime):
+    """The place of a row number: rounds over pairs, walked on until it lies inside."""
+    side = next(s for s in range(1, rows + 2) if s * s >= rows)
+    while True:
+        left, right = divmod(number, side)
+        for a, c in keys:
+            x = (right % prime * a + c) % prime
+            left, right = right, (left + (x * x + a) % prime) % side
+        number = left * side + right
+        if number < rows:
+            return number
+
+
+def shards(rows, shards, keys, prime, buckets, seed):
+    """[(doc_id, shard, slot)] of (doc_id, crc32, size) rows, numbered by bucket, id, crc32 and size."""
+
+    def bucket(doc):
+        k = (-1 if doc is None else doc) % prime
+        x = (k * 1103515245 + 12345 + seed % prime) % prime
+        return (x * x + k) % prime % buckets
+
+    order = sorted(rows, key=lambda r: (bucket(r[0]), r[0] is not None, r[0] or 0, *r[1:]))
+    places = [(r[0], feistel(i, len(rows), keys, prime)) for i, r in enumerate(order)]
+    return [(doc, p % shards, p // shards) for doc, p in places]
+
+
+def transitions(match):
+    """Features of a candidate that rest on its characters, by name."""
+    kinds = ["lower" if "a" <= c <= "z" else "upper" if "A" <= c <= "Z" else "digit" if "0" <= c <= "9" else "other" for c in match]
+    n = max(len(match) - 1, 1)
+    out = {f"{a}_{b}": 0.0 for a in ("lower", "upper", "digit", "other") for b in ("lower", "upper", "digit", "other")}
+    for a, b in zip(kinds, kinds[1:], strict=False):
+        out[f"{a}_{b}"] += 1 / n
+    lower = match.lower()
+    spoken = sum(a in "bcdfghjklmnpqrstvwxyz" and b in "aeiou" for a, b in zip(lower, lower[1:], strict=False)) / n
+    return out | {"length": len(match), "digits": kinds.count("digit") / len(match), "capitals": kinds.count("upper") / len(match), "distinct": len(set(match)) / min(len(match), 64), "hex": float(bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", match))), "spoken": spoken}
+
+
+def letters(text):
+    """Lower-case text with runs of other characters as one blank, blanks at both ends."""
+    t = "".join(c if c.isalpha() else " " for c in f" {(text or '').lower()} ")
+    return re.sub(" +", " ", t)
+
+
+def bundle(text, vector, dim):
+    """The sum of bound trigram vectors; ``vector`` gives a letter's, a place turns it."""
+    t, out = letters(text), [0] * dim
+    for a, b, c in zip(t, t[1:], t[2:], strict=False):
+        x, y, z = vector(a), vector(b), vector(c)
+        for i in range(dim):
+            out[i] += x[(i - 2) % dim] * y[(i - 1) % dim] * z[i]
+    return out

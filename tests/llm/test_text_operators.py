@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import contamination, katz, langid, mixing, ngram_join, pii, secret_scan, sharding, substring
+from millrace.llm.scratch import Scratch
 
 
 def pairs(df):
@@ -75,6 +76,15 @@ def test_sharding(spark, documents, odd, none):
     assert sharding.op2(none).count() == 0
 
 
+def test_places_are_those_of_a_plain_version(spark, documents, odd):
+    for df in (documents, odd):
+        rows = sharding.op2(df).collect()
+        want = brute.shards([(r["doc_id"], r["text_crc32"], r["size"]) for r in rows], 40, sharding.round_keys(sharding.SEED), sharding.PRIME, sharding.buckets_for(len(rows)), sharding.SEED)
+        same([(r["doc_id"], r["shard"], r["slot"]) for r in rows], want)
+    one, two = ([r[0] for r in spark.range(500).select(sharding.permuted(F.col("id"), 500, s)).collect()] for s in (1, 2))
+    assert one != two and sorted(one) == sorted(two)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 16, 17, 1000, 4099])
 def test_permutation_is_one(spark, n):
     got = [r[0] for r in spark.range(n).select(sharding.permuted(F.col("id"), n)).collect()]
@@ -172,6 +182,31 @@ def test_dictionary_counts_all_texts(spark):
     assert sorted(r["word"] for r in secret_scan.learned_words(docs).collect()) == sorted(want)
 
 
+def test_character_features(spark):
+    matches = ["internationalization", "AbC-123/xyz+09_=", "ffff0000aaaa1111", "Zz9", "x" * 40, "deadBEEF00"]
+    scratch = Scratch(spark, "test-secrets")
+    found = spark.createDataFrame([(m, "see token = ", " and") for m in matches], "match string, before string, after string")
+    dictionary = spark.createDataFrame([("international",), ("ffff",), ("xyz",)], "word string")
+    for r in secret_scan.with_features(found, dictionary, scratch).collect():
+        for name, want in brute.transitions(r["match"]).items():
+            assert r[name] == pytest.approx(want), (r["match"], name)
+        assert (r["assigned"], r["quoted"], r["secret_word"], r["other_word"]) == (1.0, 0.0, 1.0, 0.0)
+        assert r["covered"] == pytest.approx({"AbC-123/xyz+09_=": 3 / 16, "ffff0000aaaa1111": 4 / 16}.get(r["match"], 0.0))
+
+
+def test_forest_on_held_out_findings(spark, documents):
+    """Trained on four fifths of the labelled findings, the forest tells the others apart."""
+    scratch = Scratch(spark, "test-secrets")
+    dictionary = scratch.save(secret_scan.learned_words(documents))
+    rows = scratch.save(secret_scan.generated_findings(spark, dictionary))
+    model = secret_scan.fit(rows.where("id % 5 <> 1"), dictionary, scratch)
+    found = secret_scan.judge(model, secret_scan.with_features(rows.where("id % 5 = 1"), dictionary, scratch)).select("label", "p").collect()
+    told, true = [r for r in found if r["p"] > 0.5], [r for r in found if r["label"] == 1]
+    hit = sum(r["label"] for r in told)
+    print("precision", hit / len(told), "recall", hit / len(true))
+    assert hit / len(told) >= 0.9 and hit / len(true) >= 0.9
+
+
 # 5
 
 
@@ -312,6 +347,22 @@ def test_language_id(documents, odd, none):
     assert langid.op10(none).count() == 0
 
 
+def test_language_scores_are_cosines(documents):
+    """Prototypes and scores against a plain version."""
+    import numpy as np
+
+    some = documents.orderBy("doc_id").limit(40)
+    rows = [(t, lang) for t, lang in some.select("text", "lang").collect()]
+    known: dict[str, list[int]] = {}
+    vector = lambda c: known.setdefault(c, langid.letter_vectors(np.array([0 if c == " " else ord(c)], np.uint64))[0].astype(int).tolist())
+    bundles = [np.array(brute.bundle(t[:300], vector, langid.DIM), float) for t, _ in rows]
+    langs = sorted({lang for _, lang in rows})
+    proto = [sum(b for b, (_, x) in zip(bundles, rows, strict=True) if x == lang) for lang in langs]
+    want = sorted(max(float(b @ p / np.linalg.norm(b) / np.linalg.norm(p)) for p in proto) for b in bundles)
+    short = some.withColumn("text", F.substring("text", 1, 300))
+    assert sorted(r["score"] for r in langid.predict(short, langid.fit(short)).collect()) == pytest.approx(want, abs=1e-5)
+
+
 def test_language_model_is_bounded_and_deterministic(documents):
     a, b = langid.fit(documents, 20), langid.fit(documents.repartition(7), 20)
     assert a[0] == b[0] and (a[1] == b[1]).all()
