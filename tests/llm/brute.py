@@ -192,5 +192,5 @@ def bundle(text, vector, dim):
     for a, b, c in zip(t, t[1:], t[2:], strict=False):
         x, y, z = vector(a), vector(b), vector(c)
         for i in range(dim):
-            out[i] += x[(i - 2) % dim] * y[(i - 1) % dim] * z[i]
+            out[i] += x[i] * y[(i - 1) % dim] * z[(i - 2) % dim]
     return out
