@@ -1,7 +1,7 @@
 r"""Personal data: base patterns, and unseen identifiers by bootstrapped contextual extraction.
 
 Base entities (e-mail, IP, card, phone) come from regular expressions; positions follow from the
-lengths of the pieces between the matches. Then tokens with a digit are candidates: those that
+lengths of the pieces between the matches. Then tokens with a digit or an @ are candidates: those that
 overlap a base entity are seeds. Seeds induce lexical patterns (the two words before, the word
 before, the word after, however long), patterns are scored on the graph of distinct (instance, pattern) pairs by
 the share of their instances that are seeds of one kind, instances by the noisy-or of their
@@ -33,7 +33,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "token": rf"(?<![^{SPACE}])[^{SPACE}0-9]*+[0-9][^{SPACE}]*+",
+    "token": rf"(?<![^{SPACE}])[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+",
 }
 #: A pattern needs so many distinct seeds and this share of seeds; an instance this noisy-or.
 SEEDS, CONFIDENCE, ACCEPT = 3, 0.8, 0.9
@@ -75,13 +75,13 @@ def of_kind(spans: Column, kind: int) -> Column:
 
 
 def matches(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, kind, start, end, match, before, after) of every match; kind 4: tokens with a digit."""
+    """(doc_id, h, kind, start, end, match, before, after) of every match; kind 4: tokens with a digit or an @."""
     t = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(t).alias("h"), t.alias("text"))
     rows = rows.withColumn("digit", F.col("text").rlike("[0-9]")).withColumn("at", F.col("text").contains("@")).where("digit or at")
     names = [*KINDS, "token"]
     for name in names:
-        rows = rows.withColumn("m_" + name, F.when(F.col("at" if name == "email" else "digit"), F.regexp_extract_all("text", F.lit(PATTERNS[name]), F.lit(0))))
+        rows = rows.withColumn("m_" + name, F.when(F.expr({"email": "at", "token": "digit or at"}.get(name, "digit")), F.regexp_extract_all("text", F.lit(PATTERNS[name]), F.lit(0))))
     rows = rows.where(" or ".join(f"size(m_{name}) > 0" for name in names))
     found = []
     for i, name in enumerate(names):
@@ -102,7 +102,7 @@ def matches(docs: DataFrame) -> DataFrame:
 
 
 def candidates(found: DataFrame) -> DataFrame:
-    """Tokens with a digit: instance, its span, its patterns, and the kind of the base entity they overlap."""
+    """Tokens with a digit or an @: instance, its span, its patterns, and the kind of the base entity they overlap."""
     base, token = found.where("kind < 4"), found.where("kind = 4")
     lead = F.length(F.regexp_extract("match", r"^([^A-Za-z0-9+]*+)", 1))
     instance = F.regexp_replace("match", r"^[^A-Za-z0-9+]++|(?<=[A-Za-z0-9])[^A-Za-z0-9]++$", "")

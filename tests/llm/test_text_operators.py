@@ -254,6 +254,16 @@ def test_bootstrapping_discovers(spark):
     assert got[50]["spans"] == "email:17:31" and got[50]["n_email"] == 0 and got[51]["spans"] == ""
 
 
+def test_seeds_without_digits_and_long_neighbours(spark):
+    name = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    far = "x" * 200
+    rows = [(i, f"please write {far} {name(i)}@mail.example.com today") for i in range(20)]
+    rows += [(50, f"please write {far} jane(at)host9 today"), (51, "please write soon jane(at)host8 then")]
+    got = {r["doc_id"]: r["spans"] for r in pii.op6(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id >= 50").collect()}
+    start = len(f"please write {far} ")
+    assert got == {50: f"email:{start}:{start + 13}", 51: ""}
+
+
 # 8
 
 
