@@ -16,7 +16,8 @@ from millrace.model import TABLES, Context, JobExecution, JobInstance, Parameter
 
 LOCK_TTL = timedelta(minutes=30)
 
-DDL = """
+#: The schema's versions in order; a database is brought from its own (``pragma user_version``) to the last. Never change one that was released.
+MIGRATIONS = ("""
 create table if not exists job_instances (id integer primary key, job_name text not null check (length(job_name) <= 100), parameters_json text not null, unique (job_name, parameters_json));
 create table if not exists job_executions (id integer primary key, job_instance_id integer not null references job_instances on delete cascade, parameters_json text not null, status text not null, start_time text not null, end_time text, failure_message text, last_heartbeat_at text);
 create index if not exists job_executions_instance on job_executions (job_instance_id);
@@ -25,7 +26,10 @@ create index if not exists step_executions_job on step_executions (job_execution
 create table if not exists job_locks (id integer primary key, job_name text not null, parameters_json text not null, lock_token text not null, acquired_at text not null, expires_at text not null, unique (job_name, parameters_json));
 create table if not exists dead_letters (id integer primary key, job_name text not null, step_name text not null, item_json text not null, item_type_name text not null, exception_type text not null, exception_message text not null, stack_trace text, skip_count_at_time integer not null, occurred_at text not null);
 create index if not exists dead_letters_step on dead_letters (job_name, step_name);
-"""
+""", """
+create index if not exists job_executions_status on job_executions (job_instance_id, status);
+create index if not exists step_executions_name on step_executions (job_execution_id, step_name);
+""")
 
 
 def _out(at: datetime | None) -> str | None:
@@ -44,7 +48,12 @@ class Repository:
         self._db.row_factory = sqlite3.Row
         self._lock = threading.RLock()
         with self._lock:
-            self._db.executescript("pragma foreign_keys = on;" + DDL)
+            self._db.execute("pragma foreign_keys = on")
+            version = self._db.execute("pragma user_version").fetchone()[0]
+            if version > len(MIGRATIONS):
+                raise ValueError(f"the repository has schema version {version}, this program knows {len(MIGRATIONS)}")
+            for i in range(version, len(MIGRATIONS)):
+                self._db.executescript(f"begin immediate; {MIGRATIONS[i]} pragma user_version = {i + 1}; commit;")
 
     def close(self) -> None:
         self._db.close()

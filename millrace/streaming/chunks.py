@@ -1,14 +1,16 @@
 """Chunk steps over unbounded input: each micro-batch is a group of chunks.
 
 Structured Streaming keeps the position in its checkpoint folder and hands a failed batch out again
-under the same number, so sinks that replace their group by number see every row once.
+under the same number, so sinks that replace their group by number (the folder sinks) hold every row once; others
+append it again. A chunk's number holds its batch's in the upper 32 bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -27,6 +29,7 @@ def run_stream(rows: DataFrame, processor: Processor, sink: Sink, checkpoint: st
     def commit(batch: DataFrame, number: int) -> None:
         out = processor.apply(batch)
         numbered = chunked(out, order, chunk_size).withColumn("_seq", _position(order))
+        numbered = numbered.withColumn("_chunk", F.col("_chunk") + (number << 32))  # no batch repeats another's chunk numbers
         numbered = numbered.persist()
         try:
             n = numbered.count()
@@ -41,7 +44,5 @@ def run_stream(rows: DataFrame, processor: Processor, sink: Sink, checkpoint: st
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def _position(order: list[str]):
-    from pyspark.sql import functions as F
-
+def _position(order: list[str]) -> Column:
     return F.col(order[0]).cast("long")

@@ -16,7 +16,7 @@ from millrace.operators.processing import ArrowMap, Chain, Composite, Identity,
 from millrace.operators.ranges import RangePartitioner
 from millrace.plans import cli
 from millrace.plans.jobs import AlreadyRunning, FlowBuilder, FlowError, Host, JobBuilder, Launcher
-from millrace.plans.repository import Repository
+from millrace.plans.repository import MIGRATIONS, Repository
 from millrace.plans.steps import ChunkListener, PartitionedStep, PartitionHandler, Repeat, Step, StepAborted, StepBuilder, StepListener, Stop, TaskletStep
 from millrace.sinks.files import JsonArraySink, LineFileSink, ParquetSink, Sink, TextSink, XmlSink
 from millrace.sinks.others import CompositeSink, JsonLinesDeadLetters, MemoryDeadLetters, MemorySink, RepositoryDeadLetters, SqliteSink
@@ -537,7 +537,8 @@ def test_stream_resumes_without_repeats(spark, tmp_path):
     for _ in range(2):
         q = run_stream(file_stream(spark, data, "id long"), Project(F.col("id") % 2 == 0), ParquetSink(out), check, ["id"], 3)
         q.awaitTermination(60)
-    assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == list(range(0, 20, 2))
+    rows = spark.read.parquet(out).collect()
+    assert sorted(r["id"] for r in rows) == list(range(0, 20, 2)) and sorted({r["_chunk"] for r in rows}) == [0, 1, 1 << 32, (1 << 32) + 1]
 
 
 def test_positions_of_uneven_keys(spark):
@@ -676,3 +677,20 @@ def test_arrow_map_and_partition_handler(spark, repo):
 
     assert run(repo, PartitionedStep(repo, "p", worker, RangePartitioner(1, 9), 3, handler=Backwards())).status == Status.COMPLETED
     assert seen == ["p:partition2", "p:partition1", "p:partition0"]
+
+
+def test_schema_versions(tmp_path):
+    path = str(tmp_path / "jobs.db")
+    old = sqlite3.connect(path)
+    old.executescript(MIGRATIONS[0] + "insert into job_instances (job_name, parameters_json) values ('j', '{}');")  # made before versions were kept
+    old.close()
+    for _ in range(2):
+        repository = Repository(path)
+        assert repository.instance("j", Parameters()).id == 1
+        repository.close()
+    db = sqlite3.connect(path)
+    assert db.execute("pragma user_version").fetchone()[0] == len(MIGRATIONS)
+    db.execute("pragma user_version = 99")
+    db.close()
+    with pytest.raises(ValueError):
+        Repository(path)
